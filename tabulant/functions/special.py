@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 TINY = 1e-300
 EPS = 1e-15
@@ -131,7 +132,7 @@ def norm_quantile(p: float) -> float:
 
 
 def _batched(fn):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         def one(x, y, z):
             if x is None or y is None or z is None or np.isnan([x, y, z]).any():

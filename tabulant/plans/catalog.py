@@ -4,7 +4,7 @@ import importlib
 
 from tabulant.plans.registry import ORACLES, QUERIES
 
-MODULES = ["queries_profile"]
+MODULES = ["queries_profile", "queries_features", "queries_stats"]
 
 for _name in MODULES:
     importlib.import_module(f"tabulant.plans.{_name}")
