@@ -181,13 +181,13 @@ class LeastSquares:
             return float("nan")
         if self.r2 >= 1:
             return float("inf")
-        return self.r2 / self.rank / ((1 - self.r2) / self.df2)
+        return float(self.r2 / self.rank / ((1 - self.r2) / self.df2))
 
     @property
     def adjusted(self) -> float:
         if self.df2 <= 0:
             return float("nan")
-        return 1 - (1 - self.r2) * (self.n - 1) / self.df2
+        return float(1 - (1 - self.r2) * (self.n - 1) / self.df2)
 
 
 def least_squares(m: Moments, features: Sequence[str], target: str) -> LeastSquares:
@@ -205,7 +205,7 @@ def least_squares(m: Moments, features: Sequence[str], target: str) -> LeastSqua
         inverse = np.zeros((0, 0))
     coef = inverse @ sxy
     sse = max(float(syy - coef @ sxy), 0.0)
-    r2 = 1 - sse / syy if syy > 0 else float("nan")
+    r2 = float(1 - sse / syy) if syy > 0 else float("nan")
     df2 = m.n - rank - 1
     s2 = sse / df2 if df2 > 0 else float("nan")
     means = m.means[at]

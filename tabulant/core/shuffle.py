@@ -31,11 +31,12 @@ def shuffle_column(
     df: DataFrame, column: str, row_key: str | None = None, seed: int = 0
 ) -> DataFrame:
     """The table with the values of one column moved to other rows."""
+    columns = df.columns
 
-    def move(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def move(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__hash", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(key[0])])
         pdf[column] = pdf[column].to_numpy()[rng.permutation(len(pdf))]
-        return pdf[df.columns]
+        return pdf[columns]
 
     return with_block(df, row_key, seed).groupBy("__block").applyInPandas(move, df.schema)

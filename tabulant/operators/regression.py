@@ -21,9 +21,9 @@ def linear_regression(df: DataFrame, features: Sequence[str], target: str) -> Da
     fit = linear_fit(df, list(features), target)
 
     def row(term, coef, err):
-        t = coef / err if err and err > 0 else None
+        t = float(coef / err) if err and err > 0 else None
         p = t_two_sided(t, fit.df2) if t is not None and fit.df2 > 0 else None
-        return (term, float(coef), float(err), t and float(t), p)
+        return (term, float(coef), float(err), t, p)
 
     f = fit.f
     whole = (

@@ -383,7 +383,7 @@ def permutation_importance(
         key = row_key
     blocked = with_block(data, key, seed)
 
-    def copies(pos, pdf: pd.DataFrame) -> pd.DataFrame:
+    def copies(pos: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__hash", kind="stable").reset_index(drop=True)
         x = pdf[features].to_numpy(dtype="float64")
         y = pdf["label"].to_numpy(dtype="float64")

@@ -240,7 +240,7 @@ def permutation_test(
         "slice double, block long, quota array<long>",
     )
 
-    def block_sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # the order of rows in a group is not fixed, the draw must not depend on it
         pdf = pdf.sort_values("mid")
         gen = np.random.default_rng([seed, int(key[0]), int(key[1])])

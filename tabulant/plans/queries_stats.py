@@ -287,7 +287,7 @@ def q_placebo(spark, sf):
 
 def correlated(spark, sf):
     return lineitem(spark, sf).select(
-        "l_extendedprice",
+        (F.col("l_extendedprice") * F.col("l_quantity")).alias("volume"),
         "l_quantity",
         (F.col("l_quantity") * F.col("l_quantity")).alias("q2"),
         (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("net"),
@@ -297,7 +297,7 @@ def correlated(spark, sf):
 
 @query(
     "select_by_correlation",
-    """WITH x AS (SELECT l_extendedprice AS y, l_quantity AS a, l_quantity * l_quantity AS b,
+    """WITH x AS (SELECT l_extendedprice * l_quantity AS y, l_quantity AS a, l_quantity * l_quantity AS b,
         l_quantity * (1 - l_discount) AS c, l_tax AS d FROM lineitem),
     r AS (SELECT corr(a, y) AS ya, corr(b, y) AS yb, corr(c, y) AS yc, corr(d, y) AS yd FROM x)
     SELECT 'l_quantity' AS feature, round(ya, 6) + 0.0 AS r, ya >= yb AND ya >= yc AS selected FROM r
@@ -306,7 +306,7 @@ def correlated(spark, sf):
     UNION ALL SELECT 'l_tax', round(yd, 6) + 0.0, true FROM r""",
 )
 def q_select_corr(spark, sf):
-    return rounded(select.select_by_correlation(correlated(spark, sf), "l_extendedprice"), 6)
+    return rounded(select.select_by_correlation(correlated(spark, sf), "volume"), 6)
 
 
 def _mi_sql(features):
@@ -370,12 +370,12 @@ def q_f_classif(spark, sf):
 
 @query("recursive_elimination")
 def q_rfe(spark, sf):
-    return select.recursive_elimination(correlated(spark, sf), "l_extendedprice")
+    return select.recursive_elimination(correlated(spark, sf), "volume")
 
 
 @query("tree_importance")
 def q_tree_importance(spark, sf):
-    return select.tree_importance(correlated(spark, sf), "l_extendedprice", k=2, trees=10)
+    return select.tree_importance(correlated(spark, sf), "volume", k=2, trees=10)
 
 
 @query(
