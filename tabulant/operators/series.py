@@ -370,7 +370,7 @@ def _seasonal_fit(rows: DataFrame, series: str, value: str, period: float, harmo
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(c) for c in names]).alias("means"),
         F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("cov"),
-        F.max("position").alias("last"),
+        F.max("x0").cast("long").alias("last"),
     )
     kind = rows.schema[series].dataType.simpleString()
     m = len(names)

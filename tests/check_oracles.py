@@ -78,7 +78,7 @@ def main(names):
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     bad = 0
     for name, fn in QUERIES.items():
