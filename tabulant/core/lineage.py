@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -14,10 +15,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tabulant-checkpoint-")
+        folder = shared_folder(df.sparkSession)
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """A folder every executor can reach: under `spark.checkpoint.dir` when it is set.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="tabulant-")

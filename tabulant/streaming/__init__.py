@@ -1 +1 @@
-
+"""Chunked reading and running profiles on Structured Streaming."""
