@@ -1,4 +1,4 @@
-"""Cut the lineage of an iterated table with a reliable checkpoint."""
+"""Cut the lineage of an iterated or reused table by writing it to a shared folder."""
 
 from __future__ import annotations
 
@@ -8,20 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of `spark.checkpoint.dir`.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def shared_folder(spark) -> str:
-    """A folder every executor can reach: under `spark.checkpoint.dir` when it is set.
+    """A fresh folder every executor can reach: under `spark.checkpoint.dir` when it is set.
 
     Only a local session without that setting gets a temporary folder.
     """
@@ -31,3 +19,15 @@ def shared_folder(spark) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return tempfile.mkdtemp(prefix="tabulant-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows read back from a written table.
+
+    The table is computed once, survives the loss of executors, and gives later joins
+    its true size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

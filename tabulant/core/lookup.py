@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulant.core.columns import quoted
+from tabulant.core.lineage import cut_lineage
 
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 2_000
@@ -19,17 +20,19 @@ def attach(
     keys: Sequence[str],
     weight: str | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Left join `table` (one row per key) to every row of `df`.
 
-    The table is broadcast only when counted to be small. Otherwise its heaviest keys
-    (by `weight`, the rows they match) are broadcast for the rows that carry them, and
-    the rest, where no key is heavy any more, goes through a shuffle join. `weight` is
-    not part of the result.
+    The table is written once and counted; it is broadcast only when it is small.
+    Otherwise its heaviest keys (by `weight`, the rows they match) are broadcast for the
+    rows that carry them, and the rest, where no key is heavy any more, goes through a
+    shuffle join. `weight` is not part of the result. `written` says that the table is
+    cheap to read twice already.
     """
+    table = table if written else cut_lineage(table)
     out = table.drop(weight) if weight else table
-    small = len(table.limit(broadcast_rows + 1).select(F.lit(1)).collect()) <= broadcast_rows
-    if small:
+    if table.count() <= broadcast_rows:
         return df.join(F.broadcast(out), list(keys), "left")
     if weight is None:
         return df.join(out, list(keys), "left")
@@ -56,10 +59,9 @@ def sorted_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """
     from pyspark.sql import Window
 
-    values = value_counts(df, column, "__n")
-    probe = len(values.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect())
+    values = cut_lineage(value_counts(df, column, "__n"))
     c = F.col(quoted(column))
-    if probe <= BROADCAST_ROWS:
+    if values.count() <= BROADCAST_ROWS:
         order = Window.partitionBy(F.lit(0)).orderBy(c)
         return values.select(c, "__n", (F.row_number().over(order) - 1).alias(name))
     sample = [r[0] for r in values.orderBy(F.xxhash64(c), c).limit(512).select(c).collect()]

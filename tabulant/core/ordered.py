@@ -209,13 +209,7 @@ def exact_quantiles(
 
     raw = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     names = [f"v{i}" for i in range(len(columns))]
-    parts = slice_count(df)
-    grid = [i / parts for i in range(1, parts)]
-    head = raw.agg(
-        *[F.count(v).alias(f"n_{v}") for v in names],
-        *[F.percentile_approx(v, grid, 1000).alias(f"q_{v}") for v in names],
-    ).first()
-    sizes = {v: head[f"n_{v}"] for v in names}
+    sizes = raw.agg(*[F.count(v).alias(v) for v in names]).first().asDict() if names else {}
     if not names or max(sizes.values()) <= in_memory_rows:
         wanted = F.array(*[F.lit(float(p)) for p in points])
         row = raw.agg(*[F.percentile(v, wanted).alias(v) for v in names]).first()
@@ -224,7 +218,7 @@ def exact_quantiles(
             for c, v in zip(columns, names)
         }
 
-    edges = {v: sorted(set(head[f"q_{v}"] or [])) for v in names}
+    edges = quantile_edges(raw, names, slice_count(df))
     slots = [f"s_{v}" for v in names]
     sliced = with_slices(raw, names, edges, slots)
     cells = [

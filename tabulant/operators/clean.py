@@ -209,7 +209,7 @@ def encode_target(df: DataFrame, target: str, output: str | None = None) -> Data
     if not isinstance(df.schema[target].dataType, (T.StringType, T.BooleanType)):
         return df if output == target else df.withColumn(output, F.col(quoted(target)))
     codes = sorted_codes(df, target, "__code")
-    joined = attach(df, codes, [target], weight="__n")
+    joined = attach(df, codes, [target], weight="__n", written=True)
     code = F.col("__code").cast("double")
     if output == target:
         return joined.select(

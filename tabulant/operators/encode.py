@@ -41,7 +41,7 @@ def encode_label(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     require(df, columns)
     out = df
     for c in columns:
-        out = attach(out, sorted_codes(df, c, f"{c}_encoded"), [c], weight="__n")
+        out = attach(out, sorted_codes(df, c, f"{c}_encoded"), [c], weight="__n", written=True)
     return out.select(*[quoted(c) for c in df.columns], *[quoted(f"{c}_encoded") for c in columns])
 
 
@@ -79,7 +79,7 @@ def encode_ordinal(
             codes = sorted_codes(df, c, "__code").withColumn(
                 f"{c}_encoded", F.col("__code").cast("double")
             )
-            out = attach(out, codes.drop("__code"), [c], weight="__n")
+            out = attach(out, codes.drop("__code"), [c], weight="__n", written=True)
     return out.select(*[quoted(c) for c in df.columns], *[quoted(f"{c}_encoded") for c in columns])
 
 

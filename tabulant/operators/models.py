@@ -208,7 +208,7 @@ def with_label(df: DataFrame, target: str, classes: bool) -> tuple[DataFrame, li
     values = [r[0] for r in codes.orderBy("__code").limit(MAX_CLASSES + 1).select(target).collect()]
     if len(values) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    out = attach(known, codes, [target], weight="__n")
+    out = attach(known, codes, [target], weight="__n", written=True)
     return out.withColumn("label", F.col("__code").cast("double")).drop("__code"), values
 
 

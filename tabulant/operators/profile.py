@@ -118,12 +118,15 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Null and distinct shares, location, spread and bias-corrected shape per column."""
     columns = list(columns or numeric_columns(df))
     medians = exact_quantiles(df, columns, [0.5])
+    # apart from the moments: beside a distinct count they would be kept per value
+    distinct = df.agg(
+        *[F.count_distinct(number(df, c)).alias(f"u{i}") for i, c in enumerate(columns)]
+    ).first()
     cells = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         v = number(df, c)
         cells += [
             F.count(v).alias(f"n{i}"),
-            F.count_distinct(v).alias(f"u{i}"),
             F.avg(v).alias(f"a{i}"),
             F.stddev_samp(v).alias(f"s{i}"),
             F.min(v).alias(f"lo{i}"),
@@ -144,8 +147,8 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
                 F.lit(c).alias("column"),
                 (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
                 F.try_divide((F.col("rows") - n) * 100.0, F.col("rows")).alias("null_pct"),
-                F.col(f"u{i}").alias("distinct_count"),
-                F.try_divide(F.col(f"u{i}") * 100.0, F.col("rows")).alias("distinct_pct"),
+                F.lit(distinct[f"u{i}"]).cast("long").alias("distinct_count"),
+                F.try_divide(F.lit(distinct[f"u{i}"] * 100.0), F.col("rows")).alias("distinct_pct"),
                 F.col(f"a{i}").alias("mean"),
                 F.lit(medians[c][0]).cast("double").alias("median"),
                 F.col(f"s{i}").alias("std"),

@@ -325,12 +325,11 @@ def labelled_rows(df: DataFrame, features: Sequence[str], target: str) -> tuple[
     data = df.select(
         *[number(df, c).alias(c) for c in features], present(df, target).alias("__class")
     ).dropna()
-    codes = sorted_codes(data, "__class", "__code").persist()
+    codes = sorted_codes(data, "__class", "__code")
     classes = codes.count()
-    out = attach(data, codes.drop("__n"), ["__class"]).select(
+    out = attach(data, codes, ["__class"], weight="__n", written=True).select(
         *[quoted(c) for c in features], F.col("__code").cast("int").alias("__label")
     )
-    codes.unpersist()
     return out, classes
 
 

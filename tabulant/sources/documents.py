@@ -64,9 +64,14 @@ def normalize_responses(
     Anything else is an error. Without a schema the item type is found first, which
     reads the answers once more.
     """
-    text = F.ltrim(F.col(body))
-    data = F.ltrim(F.get_json_object(text, "$.data"))
-    results = F.ltrim(F.get_json_object(text, "$.results"))
+    # the parsed parts are columns of their own, so each is parsed once per answer
+    df = df.where(F.col(body).isNotNull()).select(*keep, F.ltrim(F.col(body)).alias("__text"))
+    df = df.select(
+        "*",
+        F.ltrim(F.get_json_object("__text", "$.data")).alias("__data"),
+        F.ltrim(F.get_json_object("__text", "$.results")).alias("__results"),
+    )
+    text, data, results = F.col("__text"), F.col("__data"), F.col("__results")
     items = "array<string>"
 
     def starts(c, sign):
@@ -81,6 +86,6 @@ def normalize_responses(
         .when(starts(results, "["), F.from_json(results, items))
         .otherwise(F.array(text))
     )
-    rows = df.where(F.col(body).isNotNull()).select(*keep, F.explode(shape).alias("item"))
+    rows = df.select(*keep, F.explode(shape).alias("item"))
     kind = schema or body_schema(rows, "item")
     return rows.select(*keep, F.from_json("item", kind).alias("item")).select(*keep, "item.*")
