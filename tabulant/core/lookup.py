@@ -51,7 +51,9 @@ def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.where(c.isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(name))
 
 
-def sorted_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
+def sorted_codes(
+    df: DataFrame, column: str, name: str = "code", small_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Distinct non-null values numbered from 0 in ascending order.
 
     Few values are numbered by one small window. Many are cut by sampled edge values
@@ -61,7 +63,7 @@ def sorted_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
 
     values = cut_lineage(value_counts(df, column, "__n"))
     c = F.col(quoted(column))
-    if values.count() <= BROADCAST_ROWS:
+    if values.count() <= small_rows:
         order = Window.partitionBy(F.lit(0)).orderBy(c)
         return values.select(c, "__n", (F.row_number().over(order) - 1).alias(name))
     sample = [r[0] for r in values.orderBy(F.xxhash64(c), c).limit(512).select(c).collect()]
@@ -75,6 +77,7 @@ def sorted_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
         "__slice", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off")
     )
     local = Window.partitionBy("__slice").orderBy(c)
-    return sliced.join(F.broadcast(offsets), "__slice").select(
+    numbered = sliced.join(F.broadcast(offsets), "__slice").select(
         c, "__n", (F.row_number().over(local) - 1 + F.col("__off")).alias(name)
     )
+    return cut_lineage(numbered)

@@ -436,13 +436,13 @@ def stability_selection(
     moment tables come from one pass; each search then runs as its own task.
     """
     features = list(features or numeric_columns(df, exclude=[target]))
-    h = row_hash(df, row_key, seed)
+    cols = [*features, target]
+    hashed = df.withColumn("__h", row_hash(df, row_key, seed))
     picks = F.filter(
         F.sequence(F.lit(0), F.lit(samples - 1)),
-        lambda b: F.pmod(F.xxhash64(h, b), F.lit(100)) < share,
+        lambda b: F.pmod(F.xxhash64(F.col("__h"), b), F.lit(100)) < share,
     )
-    cols = [*features, target]
-    data = df.select(*[number(df, c).alias(c) for c in cols], F.explode(picks).alias("__b"))
+    data = hashed.select(*[number(df, c).alias(c) for c in cols], F.explode(picks).alias("__b"))
     tables = moments_by(data, cols, "__b")
     spark = df.sparkSession
     frame = spark.createDataFrame(
