@@ -37,8 +37,8 @@ def order_number(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], parts: int) -> dict[str, list[float]]:
-    """Inner slice edges per column from one pass of approximate quantiles."""
+def quantile_points(df: DataFrame, columns: Sequence[str], parts: int) -> dict[str, list[float]]:
+    """Approximate quantiles per column from one pass; a heavy value comes up repeatedly."""
     points = [i / parts for i in range(1, parts)]
     row = df.agg(
         *[
@@ -46,7 +46,12 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], parts: int) -> dict[st
             for i, c in enumerate(columns)
         ]
     ).first()
-    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
+    return {c: sorted(row[f"q{i}"] or []) for i, c in enumerate(columns)}
+
+
+def quantile_edges(df: DataFrame, columns: Sequence[str], parts: int) -> dict[str, list[float]]:
+    """Inner slice edges per column."""
+    return {c: sorted(set(q)) for c, q in quantile_points(df, columns, parts).items()}
 
 
 def with_slices(
@@ -78,11 +83,24 @@ def positions(
     name: str = "position",
     parts: int | None = None,
 ) -> DataFrame:
-    """Row number from 0 in the order of one column, overall or within `by`."""
+    """Row number from 0 in the order of one column, overall or within `by`.
+
+    A value that fills a whole slice or more is cut further by a hash of the row, unless
+    `ties` asks for an order among equal values.
+    """
     keyed = df.withColumn("__key", order_number(df, order))
     parts = parts or slice_count(df)
-    edges = quantile_edges(keyed, ["__key"], parts)
-    sliced = with_slices(keyed, ["__key"], edges, ["__slice"])
+    points = quantile_points(keyed, ["__key"], parts)["__key"]
+    heavy = sorted({a for a, b in zip(points, points[1:]) if a == b})
+    sliced = with_slices(keyed, ["__key"], {"__key": sorted(set(points))}, ["__slice"])
+    if heavy and not ties:
+        # a heavy value is the lower edge of its slice, so it comes first there
+        same = F.col("__key").isin(heavy)
+        share = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), F.lit(parts))
+        sliced = sliced.withColumn(
+            "__slice",
+            F.col("__slice") + F.when(same, share / F.lit(2.0 * parts)).otherwise(F.lit(0.5)),
+        )
     group = [*by, "__slice"]
     sizes = sliced.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     earlier = (
@@ -167,7 +185,12 @@ def value_ranks(df: DataFrame, features: Sequence[str], group: str) -> DataFrame
         .orderBy("value")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    same = Window.partitionBy("feature", "slice", "value")
+    # peers of a value are a frame of the same window, so one sort serves both sums
+    same = (
+        Window.partitionBy("feature", "slice")
+        .orderBy("value")
+        .rangeBetween(Window.currentRow, Window.currentRow)
+    )
     local = counts.withColumn("t", F.sum("n").over(same)).withColumn(
         "mid", F.sum("n").over(upto) - (F.col("t") - 1) / 2
     )

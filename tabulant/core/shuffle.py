@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulant.core.columns import quoted
+from tabulant.core.lineage import cut_lineage
 
 BLOCK_ROWS = 5_000
 
@@ -22,8 +23,18 @@ def row_hash(df: DataFrame, row_key: str | None, seed: int = 0) -> Column:
 
 
 def with_block(df: DataFrame, row_key: str | None, seed: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Deal the rows into blocks of about `rows` rows.
+
+    Without a unique key the table is written first and rows are told apart by their
+    place in it, so that equal rows do not pile up in one block; only with a key is the
+    same shuffle repeated from run to run.
+    """
+    if row_key is None:
+        df = cut_lineage(df)
+        h = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    else:
+        h = row_hash(df, row_key, seed)
     blocks = max(1, -(-df.count() // rows))
-    h = row_hash(df, row_key, seed)
     return df.withColumn("__hash", h).withColumn("__block", F.pmod("__hash", F.lit(blocks)))
 
 

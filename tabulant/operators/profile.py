@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from tabulant.core.columns import (
     rows_of,
     text_columns,
 )
+from tabulant.core.gram import NARROW
 from tabulant.core.ordered import exact_quantiles
 
 # fixed values: words that mark an identifier column
@@ -259,31 +262,68 @@ def target_type(df: DataFrame, target: str, threshold: int = 3) -> DataFrame:
     return some.agg(kind.alias("kind")).select(F.lit(target).alias("target"), "kind")
 
 
-def correlation_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, pairs_per_pass: int = 200
-) -> DataFrame:
-    """Pearson r of every ordered pair of columns, over the rows where both are present."""
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson r of every ordered pair of columns, over the rows where both are present.
+
+    Few columns are one aggregate; many go through Arrow batches that add up masked
+    products per task, still in one pass over the rows.
+    """
     columns = list(columns or numeric_columns(df))
+    if len(columns) > NARROW:
+        return _wide_correlations(df, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    out = None
-    for start in range(0, len(pairs), pairs_per_pass):
-        some = pairs[start : start + pairs_per_pass]
-        row = df.agg(
-            *[F.corr(number(df, a), number(df, b)).alias(f"r{k}") for k, (a, b) in enumerate(some)]
+    row = df.agg(
+        *[F.corr(number(df, a), number(df, b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)]
+    )
+    cells = [
+        F.struct(
+            F.lit(x).alias("a"),
+            F.lit(y).alias("b"),
+            F.nanvl(F.col(f"r{k}"), F.lit(None)).alias("r"),
         )
-        cells = []
-        for k, (a, b) in enumerate(some):
-            for x, y in {(a, b), (b, a)}:
-                cells.append(
-                    F.struct(
-                        F.lit(x).alias("a"),
-                        F.lit(y).alias("b"),
-                        F.nanvl(F.col(f"r{k}"), F.lit(None)).alias("r"),
-                    )
-                )
-        part = row.select(rows_of(cells))
-        out = part if out is None else out.unionByName(part)
-    return out
+        for k, (a, b) in enumerate(pairs)
+        for x, y in sorted({(a, b), (b, a)})
+    ]
+    return row.select(rows_of(cells))
+
+
+def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    data = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    first = data.agg(*[F.avg(c) for c in data.columns]).first()
+    centre = np.array([float(v or 0.0) for v in first])
+    p = len(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((4, p, p))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64") - centre
+            there = ~np.isnan(x)
+            m, x = there.astype("float64"), np.where(there, x, 0.0)
+            sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.indices((p, p)).reshape(2, -1)
+        n, s, ss, xy = sums.reshape(4, -1)
+        yield pd.DataFrame({"i": i, "j": j, "n": n, "s": s, "ss": ss, "xy": xy})
+
+    cells = (
+        data.mapInPandas(run, "i int, j int, n double, s double, ss double, xy double")
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "xy")])
+    )
+    # the sums of the second column of a pair are those of the mirrored pair
+    mirror = cells.select(
+        F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("t"), F.col("ss").alias("tt")
+    )
+    n = F.col("n")
+    spread = (n * F.col("ss") - F.col("s") * F.col("s")) * (n * F.col("tt") - F.col("t") * F.col("t"))
+    r = F.try_divide(
+        n * F.col("xy") - F.col("s") * F.col("t"), F.when(spread > 0, F.sqrt(spread))
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    return cells.join(mirror, ["i", "j"]).select(
+        F.element_at(names, F.col("i") + 1).alias("a"),
+        F.element_at(names, F.col("j") + 1).alias("b"),
+        r.alias("r"),
+    )
 
 
 def target_correlations(

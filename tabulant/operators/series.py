@@ -21,13 +21,18 @@ from tabulant.core.ordered import (
     block_window,
     own_rows,
     positions,
+    quantile_edges,
     series_blocks,
+    slice_count,
+    with_slices,
 )
 from tabulant.functions.special import t_p
 
 # fixed values: least rows of a series and the period assumed for it
 DEFAULT_PERIODS = [(365, 365), (52, 52), (12, 12), (0, 2)]
 
+BLOCKS_PER_RUN = 1_000
+
 
 def series_rows(df: DataFrame, series: str, order: str, value: str) -> DataFrame:
     """(series, order, value, position) of the present values, numbered from 0."""
@@ -202,6 +207,34 @@ def forecast(
             }
         )
 
+    def chained(pdf):
+        chain = np.tile(np.eye(3), (g, 1, 1))
+        error = np.zeros((g, 3, 3))
+        for c, e in zip(pdf["chain"], pdf["error"]):
+            c, e = np.asarray(c).reshape(g, 3, 3), np.asarray(e).reshape(g, 3, 3)
+            error += chain.transpose(0, 2, 1) @ e @ chain
+            chain = c @ chain
+        return chain, error
+
+    def run_of_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block").reset_index(drop=True)
+        chain, error = chained(pdf)
+        second = pdf["second"].iloc[0]
+        if np.isnan(second) and len(pdf) > 1:
+            second = pdf["first"].iloc[1]
+        return pd.DataFrame(
+            {
+                series: [pdf[series].iloc[0]],
+                "block": [int(pdf["block"].iloc[0])],
+                "chain": [chain.ravel()],
+                "error": [error.ravel()],
+                "first": [pdf["first"].iloc[0]],
+                "second": [second],
+                "n": [int(pdf["n"].sum())],
+                "total": [pdf["total"].sum()],
+            }
+        )
+
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block").reset_index(drop=True)
         n = int(pdf["n"].sum())
@@ -210,14 +243,10 @@ def forecast(
             values = np.full(steps, pdf["total"].sum() / n)
             rates = (np.nan, np.nan)
         else:
-            y0 = pdf["first"].iloc[0]
-            y1 = pdf["second"].iloc[0] if len(pdf) == 1 or pdf["n"].iloc[0] > 1 else pdf["first"].iloc[1]
-            chain = np.tile(np.eye(3), (g, 1, 1))
-            error = np.zeros((g, 3, 3))
-            for c, e in zip(pdf["chain"], pdf["error"]):
-                c, e = np.asarray(c).reshape(g, 3, 3), np.asarray(e).reshape(g, 3, 3)
-                error += chain.transpose(0, 2, 1) @ e @ chain
-                chain = c @ chain
+            y0, y1 = pdf["first"].iloc[0], pdf["second"].iloc[0]
+            if np.isnan(y1):
+                y1 = pdf["first"].iloc[1]
+            chain, error = chained(pdf)
             start = np.array([y0, y1 - y0, 1.0])
             sse = np.einsum("i,gij,j->g", start, error, start)
             best = int(np.argmin(np.round(sse, 12)))
@@ -235,11 +264,15 @@ def forecast(
         )
 
     key = quoted(series)
-    summaries = blocks.groupBy(key, "__block").applyInPandas(
-        summarise,
+    shape = (
         f"{key} {kind}, block long, chain array<double>, error array<double>, "
-        "first double, second double, n long, total double",
+        "first double, second double, n long, total double"
     )
+    summaries = blocks.groupBy(key, "__block").applyInPandas(summarise, shape)
+    # runs of blocks are joined up first, so that no task holds all blocks of a series
+    summaries = summaries.groupBy(
+        key, F.floor(F.col("block") / BLOCKS_PER_RUN).alias("__run")
+    ).applyInPandas(run_of_blocks, shape)
     return summaries.groupBy(key).applyInPandas(
         combine,
         f"{key} {kind}, step int, forecast double, level_rate double, trend_rate double",
@@ -501,19 +534,46 @@ def residual_anomalies(
 
 
 def _series_quantile(residuals: DataFrame, series: str, q: float) -> DataFrame:
-    """Interpolated quantile of |residual| per series, by position instead of a value map."""
-    size = residuals.where(F.col("residual").isNotNull()).select(
+    """Interpolated quantile of |residual| per series.
+
+    Equal values are counted first, and the counts are added up slice by slice.
+    """
+    errors = residuals.where(F.col("residual").isNotNull()).select(
         quoted(series), F.abs("residual").alias("__e")
     )
-    placed = positions(size, "__e", by=[series], name="__p")
-    counts = size.groupBy(quoted(series)).agg(F.count(F.lit(1)).alias("__n"))
-    marked = attach(placed, counts.withColumn("__w", F.col("__n")), [series], weight="__w")
+    edges = quantile_edges(errors, ["__e"], slice_count(errors))
+    sliced = with_slices(errors, ["__e"], edges, ["__slice"])
+    key = [series, "__slice"]
+    values = sliced.groupBy(*key, "__e").agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*key).orderBy("__e")
+    local = values.withColumn("__end", F.sum("__c").over(upto))
+    sizes = values.groupBy(*key).agg(F.sum("__c").alias("__m"))
+    per_series = Window.partitionBy(series)
+    earlier = per_series.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *key,
+        F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__off"),
+        F.sum("__m").over(per_series).alias("__n"),
+    )
+    end = F.col("__end") + F.col("__off")
+    spans = local.join(offsets, key).select(
+        quoted(series), "__e", "__n", (end - F.col("__c")).alias("__from"), end.alias("__to")
+    )
     h = (F.col("__n") - 1) * F.lit(q)
     low = F.floor(h)
-    near = marked.where((F.col("__p") == low) | (F.col("__p") == low + 1))
-    return near.groupBy(quoted(series)).agg(
-        (
-            F.min("__e") + (F.max("__e") - F.min("__e")) * F.first(h - low)
-        ).alias("__m"),
+    high = F.least(low + 1, F.col("__n") - 1)
+
+    def holds(rank):
+        return (F.col("__from") <= rank) & (rank < F.col("__to"))
+
+    found = spans.where(holds(low) | holds(high)).groupBy(quoted(series)).agg(
+        F.min(F.when(holds(low), F.col("__e"))).alias("__a"),
+        F.min(F.when(holds(high), F.col("__e"))).alias("__b"),
+        F.first(h - low).alias("__f"),
         F.first("__n").alias("__n"),
     )
+    return found.select(
+        series,
+        (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("__m"),
+        "__n",
+    )

@@ -49,8 +49,9 @@ def test_long_chain_components(spark):
     nodes = spark.range(64).select(F.array("id").alias("node"))
     edges = spark.range(63).select(F.array("id").alias("a"), F.array(F.col("id") + 1).alias("b"))
     edges = edges.where(F.col("a")[0] != 40)
-    labels = cluster.connected_components(nodes, edges).collect()
-    assert {r["label"][0] for r in labels} == {0, 41}
+    for limit in (0, 1_000):
+        labels = cluster.connected_components(nodes, edges, limit).collect()
+        assert len(labels) == 64 and {r["label"][0] for r in labels} == {0, 41}
 
 
 def test_agreement_of_labelings(spark):

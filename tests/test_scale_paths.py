@@ -145,3 +145,42 @@ def test_no_single_task_exchange_over_rows(spark, lines):
     for df in plans:
         assert "SinglePartition" not in _exchanges(df)
         assert "CartesianProduct" not in _exchanges(df)
+
+
+def test_wide_correlations_equal_narrow(spark, monkeypatch):
+    from tabulant.operators import profile
+
+    df = spark.range(300).select(
+        F.when(F.col("id") % 7 != 0, F.rand(1)).alias("a"),
+        (F.col("id") % 13).cast("double").alias("b"),
+        F.when(F.col("id") % 5 != 0, F.col("id") * 1.0).alias("c"),
+    )
+    narrow = {(r["a"], r["b"]): r["r"] for r in profile.correlation_matrix(df).collect()}
+    monkeypatch.setattr(profile, "NARROW", 1)
+    wide = {(r["a"], r["b"]): r["r"] for r in profile.correlation_matrix(df).collect()}
+    assert wide == pytest.approx(narrow) and len(wide) == 9
+
+
+def test_positions_with_a_hot_order_value(spark):
+    df = spark.range(900).select(
+        "id", F.when(F.col("id") % 3 != 0, F.lit(5.0)).otherwise(F.col("id") / 90).alias("v")
+    )
+    rows = positions(df, "v", parts=16).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(900))
+    assert [r["v"] for r in rows] == sorted(r["v"] for r in rows)
+
+
+def test_runs_of_blocks(spark, monkeypatch):
+    df = series_table(spark, 40)
+    one = series.forecast(df, "s", "t", "v", block_rows=3).orderBy("s", "step").collect()
+    monkeypatch.setattr(series, "BLOCKS_PER_RUN", 2)
+    many = series.forecast(df, "s", "t", "v", block_rows=3).orderBy("s", "step").collect()
+    assert [r["forecast"] for r in one] == pytest.approx([r["forecast"] for r in many])
+
+
+def test_shuffle_keeps_the_values(spark):
+    from tabulant.core.shuffle import shuffle_column
+
+    df = spark.range(500).select((F.col("id") * 0).alias("k"), (F.col("id") % 50).alias("v"))
+    out = shuffle_column(df, "v")
+    assert out.groupBy("v").count().where("count <> 10").count() == 0 and out.count() == 500
