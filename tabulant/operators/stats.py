@@ -397,6 +397,50 @@ def auto_test(
     return single[test_type](df, features, target)
 
 
+def auto_tests(df: DataFrame, subsets: Sequence[Sequence[str]], target: str) -> DataFrame:
+    """The fitting test of every feature list, with its `place` in the list.
+
+    All lists share their passes over the rows: one moment table for a numeric target,
+    one test job and one batched logistic fit for classes.
+    """
+    subsets = [list(s) for s in subsets]
+    names = sorted({f for s in subsets for f in s})
+    rows = []
+    if _kind(df, target) != "categorical":
+        m = moments(df, [*names, target])
+        for i, s in enumerate(subsets):
+            fit = least_squares(m, s, target)
+            f = fit.f
+            p = f_tail(f, fit.rank, fit.df2) if f == f else None
+            rows.append(
+                (i, "regression", ", ".join(s), fit.adjusted, float(fit.rank), float(fit.df2), p, fit.n)
+            )
+    else:
+        data, classes = labelled_rows(df, names, target)
+        data = data.persist()
+        single = sorted({s[0] for s in subsets if len(s) == 1})
+        found = {}
+        if single:
+            test = t_test if classes == 2 else anova
+            found = {r["feature"]: r for r in test(data, single, "__label").collect()}
+        many = [s for s in subsets if len(s) > 1]
+        m = moments(data, names)
+        scale = np.sqrt(np.diag(m.cross) / max(m.n, 1))
+        scores = (
+            logistic_accuracies(data, names, "__label", classes, many, m.means, scale)
+            if many
+            else []
+        )
+        data.unpersist()
+        accuracy = {tuple(s): a for s, a in zip(many, scores)}
+        for i, s in enumerate(subsets):
+            if len(s) == 1:
+                rows.append((i, *found[s[0]]))
+            else:
+                rows.append((i, "logistic", ", ".join(s), accuracy[tuple(s)], None, None, None, m.n))
+    return df.sparkSession.createDataFrame(rows, f"place int, {TEST_SCHEMA}")
+
+
 def _score_row(df: DataFrame, name: str, features: Sequence[str], value: float) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(", ".join(features), float(value))], f"features string, {name} double"
@@ -466,6 +510,7 @@ def coverage(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 __all__ = [
     "anova",
     "auto_test",
+    "auto_tests",
     "class_effect",
     "class_moments",
     "coverage",

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,14 +84,11 @@ def analyze(
     found = df.sparkSession.createDataFrame(found.collect(), search.SCORE_SCHEMA)
     out["hypotheses"] = interpret.label_hypotheses(found)
     ranked = found.orderBy(F.desc("fitness"), "subset_id").limit(10).collect()
-    tests = []
-    for r in ranked:
-        try:
-            row = stats.auto_test(engineered, r["features"], target)
-            tests.append(row.withColumn("subset_id", F.lit(r["subset_id"])))
-        except ValueError as e:
-            warnings.warn(f"no test for {r['features']}: {e}")
-    out["tests"] = reduce(DataFrame.unionByName, tests)
+    places = df.sparkSession.createDataFrame(
+        [(i, r["subset_id"]) for i, r in enumerate(ranked)], "place int, subset_id long"
+    )
+    tests = stats.auto_tests(engineered, [r["features"] for r in ranked], target)
+    out["tests"] = tests.join(F.broadcast(places), "place").drop("place")
     tested = out["tests"].collect()
     best_id = min(
         tested, key=lambda r: (2.0 if r["p_value"] is None else r["p_value"], r["subset_id"])

@@ -131,6 +131,7 @@ PAGE = 500
 
 def _page_fetch(folder: str):
     """Pages of orders from files, as a service would give them."""
+    folder = folder.removeprefix("file://").removeprefix("file:")
 
     def fetch(request: dict):
         p = request["params"]

@@ -177,3 +177,16 @@ def test_permutation_importance_order(spark):
     out = {r["feature"]: r["importance"] for r in select.permutation_importance(model, df, list("abcd"), "y").collect()}
     assert out["a"] > out["b"] > 0.1 > abs(out["c"])
     assert math.isfinite(out["d"])
+
+
+def test_many_tests_share_passes(spark):
+    df, _, _ = planted(spark)
+    lists = [["a"], ["a", "b"], ["c"]]
+    got = stats.auto_tests(df, lists, "y").orderBy("place").collect()
+    for r, s in zip(got, lists):
+        assert r["statistic"] == pytest.approx(stats.auto_test(df, s, "y").first()["statistic"])
+    df = df.withColumn("k", F.when(F.col("a") > 0, "up").otherwise("down"))
+    got = stats.auto_tests(df, lists, "k").orderBy("place").collect()
+    for r, s in zip(got, lists):
+        one = stats.auto_test(df, s, "k").first()
+        assert r["test"] == one["test"] and r["statistic"] == pytest.approx(one["statistic"])
