@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabulant.core.columns import number, quoted, rows_of
 
-NARROW = 16
+# above this many columns one generated aggregate gets too big to compile well
+NARROW = 8
 
 
 @dataclass

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulant.core.columns import number, quoted, require, text_columns
-from tabulant.core.lookup import attach, sorted_codes, value_counts
+from tabulant.core.lineage import cut_lineage
+from tabulant.core.lookup import attach, sorted_codes
 
 MAX_ONE_HOT_VALUES = 1_000
 
@@ -86,13 +87,23 @@ def encode_ordinal(
 def encode_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """`{col}_freq_encoded`: rows with the value over rows with any value."""
     require(df, columns)
-    totals = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    pairs = [
+        F.struct(F.lit(i).alias("__i"), F.col(quoted(c)).cast("string").alias("__v"))
+        for i, c in enumerate(columns)
+    ]
+    counts = cut_lineage(
+        df.select(F.inline(F.array(*pairs)))
+        .where(F.col("__v").isNotNull())
+        .groupBy("__i", "__v")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    totals = {r["__i"]: r["t"] for r in counts.groupBy("__i").agg(F.sum("__n").alias("t")).collect()}
     out = df
     for i, c in enumerate(columns):
-        shares = value_counts(df, c, "__n").withColumn(
-            f"{c}_freq_encoded", F.col("__n") / F.lit(float(totals[f"n{i}"] or 1))
-        )
-        out = attach(out, shares, [c], weight="__n")
+        share = F.col("__n") / F.lit(float(totals.get(i, 1)))
+        table = counts.where(F.col("__i") == i).select("__v", "__n", share.alias(f"{c}_freq_encoded"))
+        keyed = out.withColumn("__v", F.col(quoted(c)).cast("string"))
+        out = attach(keyed, table, ["__v"], weight="__n", written=True).drop("__v")
     return out.select(
         *[quoted(c) for c in df.columns], *[quoted(f"{c}_freq_encoded") for c in columns]
     )
@@ -117,25 +128,35 @@ def encode_target_mean(
         if row_key
         else F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
     )
-    y = number(df, target)
     out = df.withColumn("__fold", F.pmod(key, F.lit(folds)))
-    overall = df.agg(F.avg(y)).first()[0]
-    for c in columns:
-        cells = (
-            out.where(F.col(quoted(c)).isNotNull())
-            .groupBy(quoted(c), "__fold")
-            .agg(F.sum(y).alias("__s"), F.count(y).alias("__m"), F.count(F.lit(1)).alias("__n"))
-        )
-        totals = cells.groupBy(quoted(c)).agg(
-            F.sum("__s").alias("__ts"), F.sum("__m").alias("__tm")
-        )
-        mean = F.try_divide(
-            F.col("__ts") - F.coalesce("__s", F.lit(0.0)), F.col("__tm") - F.col("__m")
+    overall = df.agg(F.avg(number(df, target))).first()[0]
+    # the sums of all columns come from one pass over the rows
+    pairs = [
+        F.struct(F.lit(i).alias("__i"), F.col(quoted(c)).cast("string").alias("__v"))
+        for i, c in enumerate(columns)
+    ]
+    cells = (
+        out.select(number(df, target).alias("__y"), "__fold", F.inline(F.array(*pairs)))
+        .where(F.col("__v").isNotNull())
+        .groupBy("__i", "__v", "__fold")
+        .agg(F.sum("__y").alias("__s"), F.count("__y").alias("__m"), F.count(F.lit(1)).alias("__n"))
+    )
+    cells = cut_lineage(cells)
+    totals = cells.groupBy("__i", "__v").agg(F.sum("__s").alias("__ts"), F.sum("__m").alias("__tm"))
+    mean = F.try_divide(
+        F.col("__ts") - F.coalesce("__s", F.lit(0.0)), F.col("__tm") - F.col("__m")
+    )
+    means = cut_lineage(
+        cells.join(totals, ["__i", "__v"]).select(
+            "__i", "__v", "__fold", "__n", mean.alias("__mean")
         )
-        table = cells.join(totals, c).select(
-            quoted(c), "__fold", "__n", mean.alias(f"{c}_target_encoded")
+    )
+    for i, c in enumerate(columns):
+        table = means.where(F.col("__i") == i).select(
+            "__v", "__fold", "__n", F.col("__mean").alias(f"{c}_target_encoded")
         )
-        out = attach(out, table, [c, "__fold"], weight="__n")
+        keyed = out.withColumn("__v", F.col(quoted(c)).cast("string"))
+        out = attach(keyed, table, ["__v", "__fold"], weight="__n", written=True).drop("__v")
     return out.select(
         *[quoted(c) for c in df.columns],
         *[

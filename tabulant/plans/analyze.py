@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulant.core.columns import number, numeric_columns, require
+from tabulant.core.lineage import cut_lineage
 from tabulant.operators import clean, features, interpret, profile, search, select, stats
 from tabulant.operators.causal import causal_effect
 from tabulant.operators.models import automl
@@ -35,7 +36,7 @@ def analyze(
     """Validate, clean, engineer, select, search, test, estimate and report.
 
     The target defaults to the last column. Rows stay on the executors; the engineered
-    table is cached for the search and released at the end.
+    table is written once, and the search and the tests read it back.
     """
     target = target or df.columns[-1]
     require(df, [target])
@@ -74,7 +75,7 @@ def analyze(
         row_key=row_key,
     )
     names = [c for c in numeric_columns(engineered) if c not in held]
-    engineered = engineered.select(*[F.col(f"`{c}`") for c in [*held, *names]]).persist()
+    engineered = cut_lineage(engineered.select(*[F.col(f"`{c}`") for c in [*held, *names]]))
     if selection:
         chosen = select.select_features(engineered, target, selection, names, k=selection_k)
         out["selection"] = chosen
@@ -104,11 +105,10 @@ def analyze(
     out["summary"] = interpret.summarize_hypotheses(found)
     for name, table in interpret.report_tables(found, out["tests"]).items():
         out[f"report_{name}"] = table
-    # the small result tables are computed before the cached rows are released
+    # the result tables are small: computed once, they no longer depend on the rows
     small = {}
     for name, table in out.items():
         small[name] = df.sparkSession.createDataFrame(table.collect(), table.schema)
-    engineered.unpersist()
     small["target"] = df.sparkSession.createDataFrame(
         [(target, labels)], "target string, was_text boolean"
     )
