@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tabulant.llm.bpe import decode, encode
 from tabulant.llm.decontaminate import find_contamination
+from tabulant.llm.language import identify, train
+from tabulant.llm.quality import grade_texts
+from tabulant.llm.quality import train as train_grades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +47,23 @@ def token_digests(decoded: DataFrame) -> DataFrame:
     )
 
 
+@query("op1_quality")
+def op1_quality(spark, sf_dir):
+    """Grades 0 (toxic), 1 (poor), 2 (good); kept: likely good."""
+    docs = table(spark, sf_dir, "documents")
+    grade = (
+        F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    )
+    model = train_grades(docs, table(spark, sf_dir, "labels"), grade, grades=3)
+    return grade_texts(docs, model).select(
+        "doc_id",
+        "expected_grade",
+        F.col("tails")[0].alias("p_not_toxic"),
+        F.col("tails")[1].alias("p_good"),
+        (F.col("tails")[1] >= 0.4).alias("keep"),
+    )
+
+
 @query("op2_bpe")
 def op2_bpe(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
@@ -93,3 +113,20 @@ def op7_decontaminate(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (words > 0).alias("contaminated"),
     )
+
+
+def remainder(key: str, modulus: int):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+
+
+@query("op4_language")
+def op4_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(remainder("doc_id", 3) != 1))
+    return identify(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "lang_pred",
+        "score",
+        "n_words",
+    )
