@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +42,72 @@ def batched(rows: DataFrame, batch_bytes: int = 8 << 20) -> tuple[DataFrame, int
     """Rows of `texts` dealt by a hash into batches of about `batch_bytes` of text.
 
     Gives the rows with their batch number `b`, partitioned by it, and the number of
-    batches. The exchange is the same wherever the frame is used in one plan, so Spark
-    moves the texts once however often a plan comes back to them.
+    batches: at least one per shuffle partition. The exchange is the same wherever the
+    frame is used in one plan, so Spark moves the texts once however often a plan comes
+    back to them.
     """
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(1, -(-size // batch_bytes))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, -(-size // batch_bytes), least)
     b = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")
     return rows.withColumn("b", b).repartition(parts, "b"), parts
 
 
+BLOBS = "b int, k int, blob binary"
+
+
+def ask(dealt: DataFrame, emit: Callable, answer: Callable) -> DataFrame:
+    """What all batches together know about the questions of each batch.
+
+    `emit(table)` gives {k: bytes} for the rows of one batch: its questions, dealt into
+    buckets k by their content, with equal ones already merged. `answer(k, {b: bytes})`
+    sees the questions of all batches that fell into bucket k and gives {b: bytes}, the
+    answers in the order of the questions. Returns rows (b, k, blob) of answers. A bucket
+    gets one entry per batch and question, however many documents ask it.
+    """
+
+    def asked(table: pa.Table) -> pa.Table:
+        out = emit(table) if table.num_rows else {}
+        b = table.column("b")[0].as_py()
+        return _blobs([b] * len(out), list(out), list(out.values()))
+
+    def answered(table: pa.Table) -> pa.Table:
+        k = table.column("k")[0].as_py()
+        got = dict(zip(table.column("b").to_pylist(), table.column("blob").to_pylist()))
+        out = answer(k, got)
+        return _blobs(list(out), [k] * len(out), list(out.values()))
+
+    return (
+        dealt.groupBy("b").applyInArrow(asked, BLOBS).groupBy("k").applyInArrow(answered, BLOBS)
+    )
+
+
+def _blobs(b: list, k: list, blob: list) -> pa.Table:
+    return pa.table(
+        {
+            "b": pa.array(b, pa.int32()),
+            "k": pa.array(k, pa.int32()),
+            "blob": pa.array(blob, pa.binary()),
+        }
+    )
+
+
+def finish(dealt: DataFrame, answers: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """`fn(table of the batch, {k: answer})` for each batch, with the answers to its questions."""
+
+    def run(rows: pa.Table, got: pa.Table) -> pa.Table:
+        found = dict(zip(got.column("k").to_pylist(), got.column("blob").to_pylist()))
+        return fn(rows, found)
+
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(run, schema)
+
+
+def split_by(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts bucket numbers, and the edges of the buckets in it."""
+    order = np.argsort(keys.astype(np.uint16 if parts < 65536 else np.int64), kind="stable")
+    return order, np.searchsorted(keys[order], np.arange(parts + 1))
+
+
 def document_chunks(
     batches: Iterator[pa.RecordBatch], most: int = 2 << 20
 ) -> Iterator[tuple[list, list[bytes]]]:

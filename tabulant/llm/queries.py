@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabulant.llm.bpe import decode, encode
 from tabulant.llm.decontaminate import find_contamination
 from tabulant.llm.language import identify, train
+from tabulant.llm.lm import score_texts
 from tabulant.llm.quality import grade_texts
 from tabulant.llm.quality import train as train_grades
 
@@ -130,3 +131,19 @@ def op4_language(spark, sf_dir):
         "score",
         "n_words",
     )
+
+
+@query("op5_lm")
+def op5_lm(spark, sf_dir):
+    held = remainder("doc_id", 5) == 1
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held)
+    return scored.select(
+        "doc_id",
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
