@@ -56,33 +56,44 @@ def batched(rows: DataFrame, batch_bytes: int = 8 << 20) -> tuple[DataFrame, int
 BLOBS = "b int, k int, blob binary"
 
 
-def ask(dealt: DataFrame, emit: Callable, answer: Callable) -> DataFrame:
-    """What all batches together know about the questions of each batch.
+def asked(dealt: DataFrame, emit: Callable) -> DataFrame:
+    """The questions of each batch as rows (b, k, blob).
 
     `emit(table)` gives {k: bytes} for the rows of one batch: its questions, dealt into
-    buckets k by their content, with equal ones already merged. `answer(k, {b: bytes})`
-    sees the questions of all batches that fell into bucket k and gives {b: bytes}, the
-    answers in the order of the questions. Returns rows (b, k, blob) of answers. A bucket
-    gets one entry per batch and question, however many documents ask it.
+    buckets k by their content, with equal ones already merged.
     """
 
-    def asked(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         out = emit(table) if table.num_rows else {}
-        b = table.column("b")[0].as_py()
-        return _blobs([b] * len(out), list(out), list(out.values()))
+        b = table.column("b")[0].as_py() if table.num_rows else 0
+        return blobs([b] * len(out), list(out), list(out.values()))
+
+    return dealt.groupBy("b").applyInArrow(run, BLOBS)
+
+
+def answered(questions: DataFrame, answer: Callable) -> DataFrame:
+    """Answers to questions as rows (b, k, blob).
+
+    `answer(k, {b: bytes})` sees the questions of all batches that fell into bucket k and
+    gives {b: bytes}, the answers in the order of the questions. A bucket gets one entry
+    per batch and question, however many documents ask it.
+    """
 
-    def answered(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         k = table.column("k")[0].as_py()
         got = dict(zip(table.column("b").to_pylist(), table.column("blob").to_pylist()))
         out = answer(k, got)
-        return _blobs(list(out), [k] * len(out), list(out.values()))
+        return blobs(list(out), [k] * len(out), list(out.values()))
 
-    return (
-        dealt.groupBy("b").applyInArrow(asked, BLOBS).groupBy("k").applyInArrow(answered, BLOBS)
-    )
+    return questions.groupBy("k").applyInArrow(run, BLOBS)
+
+
+def ask(dealt: DataFrame, emit: Callable, answer: Callable) -> DataFrame:
+    """What all batches together know about the questions of each batch."""
+    return answered(asked(dealt, emit), answer)
 
 
-def _blobs(b: list, k: list, blob: list) -> pa.Table:
+def blobs(b: list, k: list, blob: list) -> pa.Table:
     return pa.table(
         {
             "b": pa.array(b, pa.int32()),

@@ -18,6 +18,7 @@ from tabulant.llm.language import identify, train
 from tabulant.llm.lm import score_texts
 from tabulant.llm.quality import grade_texts
 from tabulant.llm.quality import train as train_grades
+from tabulant.llm.suffixes import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +148,18 @@ def op5_lm(spark, sf_dir):
         "score",
         "bits_per_byte",
     )
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    found = repeated_spans(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]
+    )
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
