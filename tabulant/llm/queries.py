@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulant.llm.bpe import decode, encode
 from tabulant.llm.decontaminate import find_contamination
+from tabulant.llm.jaccard import similar_components
 from tabulant.llm.language import identify, train
 from tabulant.llm.lm import score_texts
 from tabulant.llm.quality import grade_texts
@@ -163,3 +164,32 @@ def op3_suffix_dedup(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM w WHERE len(w) > 0)
+), sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+), ov AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM ov JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b
+  WHERE 100 * o >= 85 * (x.n + y.n - o)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT d.doc_id, CAST(coalesce(sz.n, 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM documents d LEFT JOIN sz USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, sz.n
+"""
+
+
+@query("op9_jaccard", OP9_SQL)
+def op9_jaccard(spark, sf_dir):
+    return similar_components(table(spark, sf_dir, "documents"), n=4, percent=85)
