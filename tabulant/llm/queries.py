@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulant.llm.bpe import decode, encode
 from tabulant.llm.decontaminate import find_contamination
+from tabulant.llm.hnsw import nearest
 from tabulant.llm.jaccard import similar_components
 from tabulant.llm.language import identify, train
 from tabulant.llm.lm import score_texts
@@ -193,3 +194,9 @@ FROM documents d LEFT JOIN sz USING (doc_id) JOIN reach ON reach.a = d.doc_id GR
 @query("op9_jaccard", OP9_SQL)
 def op9_jaccard(spark, sf_dir):
     return similar_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query("op10_hnsw")
+def op10_hnsw(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
