@@ -21,11 +21,13 @@ from tabulant.llm.lm import score_texts
 from tabulant.llm.quality import grade_texts
 from tabulant.llm.quality import train as train_grades
 from tabulant.llm.suffixes import repeated_spans
+from tabulant.llm.surrogates import replace_entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
+SECRET = "surrogates of the registered query"
 
 
 def query(name: str, sql: str | None = None):
@@ -200,3 +202,8 @@ def op9_jaccard(spark, sf_dir):
 def op10_hnsw(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query("op6_surrogates")
+def op6_surrogates(spark, sf_dir):
+    return replace_entities(table(spark, sf_dir, "documents"), key=SECRET)
