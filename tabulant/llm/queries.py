@@ -18,6 +18,7 @@ from tabulant.llm.hnsw import nearest
 from tabulant.llm.jaccard import similar_components
 from tabulant.llm.language import identify, train
 from tabulant.llm.lm import score_texts
+from tabulant.llm.passages import near_passages
 from tabulant.llm.quality import grade_texts
 from tabulant.llm.quality import train as train_grades
 from tabulant.llm.suffixes import repeated_spans
@@ -207,3 +208,18 @@ def op10_hnsw(spark, sf_dir):
 @query("op6_surrogates")
 def op6_surrogates(spark, sf_dir):
     return replace_entities(table(spark, sf_dir, "documents"), key=SECRET)
+
+
+@query("op8_passages")
+def op8_passages(spark, sf_dir):
+    found = near_passages(table(spark, sf_dir, "documents"), words=50, similarity=0.8)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_repeated",
+        F.size("passages").cast("long").alias("n_passages"),
+        F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["match"]))).alias(
+            "matches"
+        ),
+        "passages",
+    )
