@@ -277,6 +277,34 @@ def next_keys(entities: DataFrame, key: str) -> DataFrame:
         )
 
 
+def _rewritten(docs: DataFrame, key: str, doc_key: str, text: str) -> tuple[DataFrame, Column]:
+    """The documents with their entities in `__m`, and the expression of the new text."""
+    old = F.col(f"`{text}`").cast("string")
+    values = docs.select(F.explode(found_entities(old)).alias("value")).distinct()
+    again = next_keys(written(values), key)
+    told = docs.withColumn("__m", found_entities(old))
+    attempts = F.transform("__m", lambda v: F.lit(0))
+    if not again.isEmpty():
+        # maps of the few such entities, per text that has one
+        told = told.withColumn("__row", F.xxhash64(F.col(f"`{doc_key}`"), old))
+        few = (
+            told.select("__row", F.explode(F.array_distinct("__m")).alias("value"))
+            .join(again, "value")
+            .groupBy("__row")
+            .agg(F.map_from_entries(F.collect_set(F.struct("value", "attempt"))).alias("__more"))
+        )
+        told = told.join(few, "__row", "left")
+        attempts = F.transform("__m", lambda v: F.coalesce(F.try_element_at("__more", v), F.lit(0)))
+    new = surrogates(F.col("__m"), attempts, key)
+    joined = F.array_join(
+        F.zip_with(
+            F.split(old, PATTERN, -1), new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))
+        ),
+        "",
+    )
+    return told, F.when(F.size("__m") > 0, joined).otherwise(old)
+
+
 def replace_entities(
     docs: DataFrame, key: str, doc_key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -293,32 +321,25 @@ def replace_entities(
         F.col(f"`{doc_key}`").cast("long").alias("doc_id"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
-    values = rows.select(F.explode(found_entities(F.col("text"))).alias("value")).distinct()
-    again = next_keys(written(values), key)
-    told = rows.withColumn("m", found_entities(F.col("text")))
-    attempts = F.transform("m", lambda v: F.lit(0))
-    if not again.isEmpty():
-        # maps of the few such entities, per text that has one
-        row = F.xxhash64("doc_id", "text")
-        few = (
-            told.withColumn("row", row)
-            .select("row", F.explode(F.array_distinct("m")).alias("value"))
-            .join(again, "value")
-            .groupBy("row")
-            .agg(F.map_from_entries(F.collect_set(F.struct("value", "attempt"))).alias("more"))
-        )
-        told = told.withColumn("row", row).join(few, "row", "left")
-        attempts = F.transform("m", lambda v: F.coalesce(F.try_element_at("more", v), F.lit(0)))
-    new = surrogates(F.col("m"), attempts, key)
-    pieces = F.split("text", PATTERN, -1)
-    joined = F.array_join(
-        F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""
-    )
+    told, new = _rewritten(rows, key, "doc_id", "text")
     return told.select(
         "doc_id",
-        F.when(F.size("m") > 0, joined).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_entities"),
+        new.alias("text"),
+        F.greatest(F.coalesce(F.size("__m"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities"),
         F.coalesce(
-            F.array_sort(F.array_distinct(F.transform("m", _kind))), F.array().cast("array<string>")
+            F.array_sort(F.array_distinct(F.transform("__m", _kind))),
+            F.array().cast("array<string>"),
         ).alias("kinds"),
     )
+
+
+def rewrite_documents(
+    docs: DataFrame, key: str, doc_key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The documents with all their columns and the text of `replace_entities`.
+
+    Column names that begin with two underscores are taken.
+    """
+    columns = docs.columns
+    told, new = _rewritten(docs, key, doc_key, text)
+    return told.withColumn(text, new).select(*[F.col(f"`{c}`") for c in columns])
