@@ -244,14 +244,16 @@ def decoder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: t for t, i in shared.value["ids"].items()}
         token |= {i: s.encode() for s, i in shared.value["added"].items()}
-        of = [token.get(i, b"") for i in range(max(token) + 1)]
+        none = max(token, default=-1) + 1  # stands for numbers that are no token
+        of = [token.get(i, b"") for i in range(none + 1)]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 out = []
                 for ids in part.column("ids"):
                     state = codecs.getincrementaldecoder("utf-8")("replace")
-                    ids = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else []
+                    ids = ids.values.fill_null(none).to_numpy() if ids.is_valid else np.zeros(0, int)
+                    ids = np.where((ids >= 0) & (ids < none), ids, none)
                     pieces = [
                         state.decode(b"".join(map(of.__getitem__, ids[k : k + 4096].tolist())))
                         for k in range(0, len(ids), 4096)

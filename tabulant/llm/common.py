@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,9 +18,12 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 def work_path(spark: SparkSession) -> str:
     """A fresh folder below `spark.checkpoint.dir`, which all executors share.
 
-    Where the setting is missing (tests on one machine), a folder in the warehouse is used.
+    Where the setting is missing, one machine takes a temporary folder of its own and a
+    cluster a folder in the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        base = tempfile.mkdtemp(prefix="tabulant-llm-")
     base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/llm-work"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -32,6 +32,7 @@ SHALLOW = "ctx int, prefix int, n0 double, n1 double, below double"
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.float64)
     shift = np.zeros_like(x)
     for i in range(8):
         shift += np.log(x + i)
