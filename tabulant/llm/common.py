@@ -43,7 +43,7 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
-def batched(rows: DataFrame, batch_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
+def batched(rows: DataFrame, batch_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
     """Rows of `texts` dealt by a hash into batches of about `batch_bytes` of text.
 
     Gives the rows with their batch number `b`, partitioned by it, and the number of

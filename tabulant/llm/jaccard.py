@@ -26,7 +26,10 @@ BLOCK = 2000
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words (none of them empty)."""
+    """64-bit hashes of words (none of them empty), some at a time to keep memory small."""
+    if len(words) > 100_000:
+        parts = [word_codes(words[i : i + 100_000]) for i in range(0, len(words), 100_000)]
+        return np.concatenate(parts)
     if not words:
         return np.zeros(0, np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -40,12 +43,9 @@ def word_codes(words: list[bytes]) -> np.ndarray:
 
 def shingle_sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a text of fewer words is one n-gram."""
-    split = [b.lower().split() for b in bodies]
-    codes = word_codes([w for words in split for w in words])
-    out, at = [], 0
-    for words in split:
-        c = codes[at : at + len(words)]
-        at += len(words)
+    out = []
+    for body in bodies:
+        c = word_codes(body.lower().split())
         k = min(n, len(c))
         if not k:
             out.append(np.zeros(0, np.uint64))

@@ -274,7 +274,7 @@ def score_texts(
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.coalesce(training, F.lit(False)).alias("train"),
     )
-    dealt, parts = batched(rows)
+    dealt, parts = batched(rows, 8 << 20)
     shallow = fit_shallow(rows, parts)
 
     def questions(table: pa.Table) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
