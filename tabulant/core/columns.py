@@ -75,3 +75,16 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns not in the table: {missing}")
+
+
+def few_values(df: DataFrame, value: Column, limit: int) -> list | None:
+    """The distinct non-null values when there are at most `limit` of them, else None.
+
+    A sketch of one number per task decides first, so values are only brought together
+    where there are few.
+    """
+    rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
+    if rows.agg(F.approx_count_distinct("v", 0.05)).first()[0] > 2 * limit + 8:
+        return None
+    some = [r["v"] for r in rows.distinct().limit(limit + 1).collect()]
+    return some if len(some) <= limit else None

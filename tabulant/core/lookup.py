@@ -11,7 +11,9 @@ from tabulant.core.columns import quoted
 from tabulant.core.lineage import cut_lineage
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 2_000
+SALTS = 64
 
 
 def attach(
@@ -24,25 +26,43 @@ def attach(
 ) -> DataFrame:
     """Left join `table` (one row per key) to every row of `df`.
 
-    The table is written once and counted; it is broadcast only when it is small.
-    Otherwise its heaviest keys (by `weight`, the rows they match) are broadcast for the
-    rows that carry them, and the rest, where no key is heavy any more, goes through a
-    shuffle join. `weight` is not part of the result. `written` says that the table is
+    The table is written once, counted and measured; it is broadcast only when rows and
+    bytes are few. Otherwise one shuffle join takes all rows: hashes of the heaviest keys
+    (by `weight`, the rows they match; at most HOT_KEYS numbers) are broadcast, rows that
+    carry them are dealt over SALTS parts, and the table has those keys once per part. So
+    `df` is read once. `weight` is not part of the result. `written` says that the table is
     cheap to read twice already.
     """
+    keys = list(keys)
     table = table if written else cut_lineage(table)
     out = table.drop(weight) if weight else table
-    if table.count() <= broadcast_rows:
-        return df.join(F.broadcast(out), list(keys), "left")
+    rows, size = out.agg(
+        F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(quoted(c)) for c in out.columns]))))
+    ).first()
+    if rows <= broadcast_rows and (size or 0) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(out), keys, "left")
     if weight is None:
-        return df.join(out, list(keys), "left")
-    heavy = table.orderBy(F.desc(weight)).limit(HOT_KEYS).drop(weight)
-    names = [c for c in out.columns if c not in keys]
-    hot = df.join(F.broadcast(heavy.withColumn("__hot", F.lit(True))), list(keys), "left")
-    first = hot.where(F.col("__hot")).drop("__hot")
-    rest = hot.where(F.col("__hot").isNull()).drop("__hot", *names)
-    second = rest.join(out, list(keys), "left")
-    return first.unionByName(second)
+        return df.join(out, keys, "left")
+    name = F.xxhash64(*[F.col(quoted(k)) for k in keys])
+    heavy = (
+        table.orderBy(F.desc(weight)).limit(HOT_KEYS).select(name.alias("__hash"), F.lit(True).alias("__hot"))
+    ).distinct()
+    hot = F.coalesce("__hot", F.lit(False))
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    left = (
+        df.withColumn("__hash", name)
+        .join(F.broadcast(heavy), "__hash", "left")
+        .withColumn("__salt", F.when(hot, dealt).otherwise(F.lit(0)))
+        .drop("__hash", "__hot")
+    )
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = (
+        out.withColumn("__hash", name)
+        .join(F.broadcast(heavy), "__hash", "left")
+        .withColumn("__salt", F.explode(salts))
+        .drop("__hash", "__hot")
+    )
+    return left.join(right, [*keys, "__salt"], "left").drop("__salt")
 
 
 def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:

@@ -18,12 +18,13 @@ from pyspark.sql import types as T
 from tabulant.core.columns import quoted
 
 ROWS_PER_BLOCK = 100_000
+ROWS_PER_SLICE = 1_000_000
 
 
 def slice_count(df: DataFrame) -> int:
-    """Slices to cut an order into: one per shuffle task, within sane limits."""
+    """Slices to cut an order into: one per shuffle task, more where those would be long."""
     conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    return max(2, min(2000, int(conf)))
+    return max(2, int(conf), df.count() // ROWS_PER_SLICE)
 
 
 def order_number(df: DataFrame, name: str) -> Column:
@@ -42,7 +43,7 @@ def quantile_points(df: DataFrame, columns: Sequence[str], parts: int) -> dict[s
     points = [i / parts for i in range(1, parts)]
     row = df.agg(
         *[
-            F.percentile_approx(F.col(quoted(c)), points, 1000).alias(f"q{i}")
+            F.percentile_approx(F.col(quoted(c)), points, max(1000, 10 * parts)).alias(f"q{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
@@ -86,12 +87,18 @@ def positions(
     """Row number from 0 in the order of one column, overall or within `by`.
 
     A value that fills a whole slice or more is cut further by a hash of the row, unless
-    `ties` asks for an order among equal values.
+    `ties` asks for an order among equal values. Slices are cut by the value as a double,
+    which keeps the order but may merge neighbours above 2^53; inside a slice rows are
+    ordered by the value itself.
     """
     keyed = df.withColumn("__key", order_number(df, order))
     parts = parts or slice_count(df)
     points = quantile_points(keyed, ["__key"], parts)["__key"]
+    own = F.col(quoted(order))
     heavy = sorted({a for a, b in zip(points, points[1:]) if a == b})
+    # a double that may stand for several values is no heavy value
+    if isinstance(df.schema[order].dataType, (T.LongType, T.DecimalType)):
+        heavy = [h for h in heavy if abs(h) < 2**53]
     sliced = with_slices(keyed, ["__key"], {"__key": sorted(set(points))}, ["__slice"])
     if heavy and not ties:
         # a heavy value is the lower edge of its slice, so it comes first there
@@ -111,7 +118,7 @@ def positions(
     offsets = sizes.select(
         *group, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
     )
-    local = Window.partitionBy(*group).orderBy("__key", *ties)
+    local = Window.partitionBy(*group).orderBy(own, *ties)
     return (
         sliced.join(offsets, group)
         .withColumn(name, F.row_number().over(local) - 1 + F.col("__before"))
@@ -220,27 +227,19 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     points: Sequence[float],
-    in_memory_rows: int = 2_000_000,
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles of numeric columns, exact at any size.
 
-    Small inputs use the built-in aggregate, whose value map lives in one task. Above
-    `in_memory_rows` the quantile is found by selection: count the rows per slice,
-    keep only the slices that hold a wanted rank, and order the distinct values there.
+    Found by selection: count the rows per slice, keep only the slices that hold a wanted
+    rank, and order the distinct values there.
     """
     from tabulant.core.columns import number
 
     raw = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     names = [f"v{i}" for i in range(len(columns))]
     sizes = raw.agg(*[F.count(v).alias(v) for v in names]).first().asDict() if names else {}
-    if not names or max(sizes.values()) <= in_memory_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in points])
-        row = raw.agg(*[F.percentile(v, wanted).alias(v) for v in names]).first()
-        return {
-            c: list(row[v]) if row[v] is not None else [None] * len(points)
-            for c, v in zip(columns, names)
-        }
-
+    if not names:
+        return {}
     edges = quantile_edges(raw, names, slice_count(df))
     slots = [f"s_{v}" for v in names]
     sliced = with_slices(raw, names, edges, slots)

@@ -8,25 +8,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulant.core.columns import number, quoted, require, text_columns
+from tabulant.core.columns import few_values, number, quoted, require, text_columns
 from tabulant.core.lineage import cut_lineage
 from tabulant.core.lookup import attach, sorted_codes
 
-MAX_ONE_HOT_VALUES = 1_000
 
-
-def _distinct_values(df: DataFrame, column: str, limit: int) -> list:
+def _distinct_values(df: DataFrame, column: str, limit: int | None) -> list:
     c = F.col(quoted(column))
-    rows = df.where(c.isNotNull()).select(c.alias("v")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+    if limit is None:
+        return sorted(r["v"] for r in df.where(c.isNotNull()).select(c.alias("v")).distinct().collect())
+    values = few_values(df, c, limit)
+    if values is None:
         raise ValueError(f"column {column} has more than {limit} distinct values")
-    return sorted(r["v"] for r in rows)
+    return sorted(values)
 
 
 def encode_one_hot(
-    df: DataFrame, columns: Sequence[str], max_values: int = MAX_ONE_HOT_VALUES
+    df: DataFrame, columns: Sequence[str], max_values: int | None = None
 ) -> DataFrame:
-    """One 0/1 column `{col}_{value}` per value; the source column is dropped."""
+    """One 0/1 column `{col}_{value}` per value; the source column is dropped.
+
+    Every value becomes a column of the plan; `max_values` makes more than so many an error.
+    """
     require(df, columns)
     kept = [F.col(quoted(c)) for c in df.columns if c not in columns]
     cells = []
@@ -171,6 +174,13 @@ def encode_target_mean(
 def low_cardinality_text(df: DataFrame, max_cardinality: int = 20) -> list[str]:
     """Text columns with at most `max_cardinality` distinct values."""
     names = text_columns(df)
+    if not names:
+        return []
+    near = df.agg(
+        *[F.approx_count_distinct(quoted(c), 0.05).alias(f"u{i}") for i, c in enumerate(names)]
+    ).first()
+    # counted exactly only where the sketch does not rule the column out
+    names = [c for i, c in enumerate(names) if near[f"u{i}"] <= 2 * max_cardinality + 8]
     if not names:
         return []
     row = df.agg(*[F.count_distinct(quoted(c)).alias(f"u{i}") for i, c in enumerate(names)]).first()

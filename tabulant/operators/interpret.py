@@ -147,7 +147,7 @@ def label_tests(tests: DataFrame) -> DataFrame:
     percent = F.floor(F.coalesce(F.col("r_squared"), F.lit(0.0)) * 100).cast("int")
     note = F.when(
         F.col("effect_size") > 0.3,
-        " The effect size indicates this is not just a statistical artifact.",
+        " Its effect is also large enough to matter, whatever the number of rows.",
     ).otherwise("")
     labelled = tests.select(
         "*",

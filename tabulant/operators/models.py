@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulant.core.columns import number, numeric_columns, present, quoted, text_columns
+from tabulant.core.columns import few_values, number, numeric_columns, present, quoted, text_columns
 from tabulant.core.lookup import attach, sorted_codes
 from tabulant.core.shuffle import row_hash
 from tabulant.operators import cluster
@@ -47,7 +47,6 @@ from tabulant.operators.evaluate import (
 from tabulant.operators.series import ar_forecast, forecast, seasonal_regression_forecast
 
 CLASS_VALUES = 20
-MAX_CLASSES = 1_000
 
 # fixed values: per task the leading metric and whether more is better
 LEADING_METRIC = {
@@ -73,9 +72,9 @@ def infer_task(
     if isinstance(df.schema[target].dataType, (T.StringType, T.BooleanType)):
         return df.sparkSession.createDataFrame([("classification",)], "task string")
     y = present(df, target)
-    some = df.where(y.isNotNull()).select(y).distinct().limit(CLASS_VALUES)
-    kind = F.when(F.count(F.lit(1)) < CLASS_VALUES, "classification").otherwise("regression")
-    return some.agg(kind.alias("task"))
+    some = few_values(df, y, CLASS_VALUES - 1)
+    task = "regression" if some is None else "classification"
+    return df.sparkSession.createDataFrame([(task,)], "task string")
 
 
 @dataclass
@@ -205,9 +204,7 @@ def with_label(df: DataFrame, target: str, classes: bool) -> tuple[DataFrame, li
         return df.withColumn("label", number(df, target)).where("label is not null"), None
     known = df.where(present(df, target).isNotNull())
     codes = sorted_codes(known, target, "__code")
-    values = [r[0] for r in codes.orderBy("__code").limit(MAX_CLASSES + 1).select(target).collect()]
-    if len(values) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    values = [r[0] for r in codes.orderBy("__code").select(target).collect()]  # one per class
     out = attach(known, codes, [target], weight="__n", written=True)
     return out.withColumn("label", F.col("__code").cast("double")).drop("__code"), values
 

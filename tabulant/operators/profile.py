@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulant.core.columns import (
+    few_values,
     melt_text,
     number,
     numeric_columns,
@@ -250,16 +251,11 @@ def detect_encoded_types(df: DataFrame, columns: Sequence[str] | None = None) ->
 def target_type(df: DataFrame, target: str, threshold: int = 3) -> DataFrame:
     """categorical when the target has at most `threshold` values, else continuous.
 
-    Stops as soon as one value more than the threshold has been seen.
+    A sketch answers for a target with many values; only few values are counted exactly.
     """
-    some = (
-        df.select(present(df, target).alias("v"))
-        .where(F.col("v").isNotNull())
-        .distinct()
-        .limit(threshold + 1)
-    )
-    kind = F.when(F.count(F.lit(1)) <= threshold, "categorical").otherwise("continuous")
-    return some.agg(kind.alias("kind")).select(F.lit(target).alias("target"), "kind")
+    some = few_values(df, present(df, target), threshold)
+    kind = "continuous" if some is None else "categorical"
+    return df.sparkSession.createDataFrame([(target, kind)], "target string, kind string")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulant.core.columns import number, numeric_columns, present, quoted, rows_of
+from tabulant.core.columns import few_values, number, numeric_columns, present, quoted, rows_of
 from tabulant.core.gram import complete_rows, least_squares, merged, moments_by
 from tabulant.core.shuffle import row_hash, with_block
 from tabulant.functions.special import f_p
@@ -31,8 +31,9 @@ def is_class_target(df: DataFrame, target: str) -> bool:
     if isinstance(df.schema[target].dataType, (T.StringType, T.BooleanType)):
         return True
     y = number(df, target)
-    some = df.where(y.isNotNull()).select(y.alias("y")).distinct().limit(11).collect()
-    values = [r["y"] for r in some]
+    values = few_values(df, y, 10)
+    if values is None:
+        return False
     return len(values) == 2 or (len(values) <= 10 and all(v == int(v) for v in values))
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulant.core.columns import melt_numbers, number, present, quoted
+from tabulant.core.columns import few_values, melt_numbers, number, present, quoted
 from tabulant.core.gram import LeastSquares, least_squares, moments
 from tabulant.core.logistic import logistic_accuracies
 from tabulant.core.ordered import value_ranks
@@ -350,7 +350,8 @@ def _kind(df: DataFrame, target: str) -> str:
 
 def _class_count(df: DataFrame, target: str) -> int:
     c = present(df, target)
-    return df.where(c.isNotNull()).select(c).distinct().limit(4).count()
+    values = few_values(df, c, 3)
+    return 4 if values is None else len(values)
 
 
 def linear_fit(df: DataFrame, features: Sequence[str], target: str) -> LeastSquares:

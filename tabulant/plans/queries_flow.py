@@ -59,17 +59,68 @@ def q_object(spark, sf):
     return rounded(out)
 
 
-@query("list_objects")
+LISTED = ("customer", "nation", "orders", "region", "supplier")
+
+
+@query(
+    "list_objects",
+    " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in LISTED),
+)
 def q_list(spark, sf):
-    out = files.list_objects(spark, sf, "*.parquet")
-    return out.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size")
+    """Rows per listed table, counted by the file they come from."""
+    listed = files.list_objects(spark, sf, "*.parquet").select("path")
+    named = F.regexp_extract(F.col("path"), r"/(\w+)\.parquet(?:/[^/]*)?$", 1)
+    listed = listed.select(F.url_decode("path").alias("path")).withColumn("name", named)
+    rows = None
+    for t in LISTED:
+        part = table(spark, sf, t).groupBy(F.col("_metadata.file_path").alias("file")).count()
+        rows = part if rows is None else rows.unionByName(part)
+    bare = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")
+    met = listed.join(rows, bare("path") == bare("file"))
+    return rounded(met.groupBy("name").agg(F.sum("count").alias("rows")))
+
+
+DESCRIBED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
 
 
-@query("describe_tables")
+@query(
+    "describe_tables",
+    " UNION ALL ".join(
+        f"SELECT 'described_{t}' AS \"table\", CAST({i} AS BIGINT) AS ordinal, '{c}' AS \"column\", "
+        f"(SELECT count(*) FROM {t}) AS rows, (SELECT count(*) - count({c}) FROM {t}) AS nulls"
+        for t, cs in DESCRIBED.items()
+        for i, c in enumerate(cs)
+    ),
+)
 def q_describe(spark, sf):
-    for name in ("region", "nation"):
-        table(spark, sf, name).createOrReplaceTempView(f"described_{name}")
-    return sql.describe_tables(spark, pattern="described_*")
+    """The described columns with the rows and nulls that each of them holds."""
+    counts = None
+    for name in DESCRIBED:
+        df = table(spark, sf, name)
+        df.createOrReplaceTempView(f"described_{name}")
+        cells = F.array(
+            *[
+                F.struct(
+                    F.lit(f"described_{name}").alias("table"),
+                    F.lit(c).alias("column"),
+                    F.col(c).isNull().cast("long").alias("empty"),
+                )
+                for c in df.columns
+            ]
+        )
+        part = df.select(F.inline(cells)).groupBy("table", "column").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("empty").alias("nulls")
+        )
+        counts = part if counts is None else counts.unionByName(part)
+    described = sql.describe_tables(spark, pattern="described_*")
+    return rounded(
+        described.join(counts, ["table", "column"]).select(
+            "table", "ordinal", "column", "rows", "nulls"
+        )
+    )
 
 
 @query(

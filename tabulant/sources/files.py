@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REPLACEMENT = "�"
-
 # fixed values: file suffixes and content types of the readable formats
 SUFFIXES = {
     ".csv": "csv",
@@ -34,8 +32,8 @@ def read_csv(
     """CSV with a header; types are inferred unless a schema is given.
 
     A missing path, a row that does not fit and an empty file are errors. Without an
-    encoding the file is read as UTF-8, and again as Latin-1 when a text column shows
-    undecodable bytes; naming the encoding saves that look at the data.
+    encoding the file is read as UTF-8, or as Latin-1 when a line has bytes that are not
+    UTF-8; naming the encoding saves that look at the lines.
     """
 
     def load(enc):
@@ -43,23 +41,17 @@ def read_csv(
         return reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
 
     try:
-        df = load(encoding or "UTF-8")
+        if encoding is None:
+            lines = spark.read.text(path)
+            broken = not lines.where(~F.is_valid_utf8("value")).isEmpty()
+            encoding = "ISO-8859-1" if broken else "UTF-8"
+        df = load(encoding)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e
         raise ValueError(f"cannot read {path}: {e}") from e
     if not df.columns:
         raise ValueError(f"the file is empty: {path}")
-    if encoding is None:
-        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        bad = any(REPLACEMENT in c for c in df.columns)
-        if texts and not bad:
-            broken = F.lit(False)
-            for c in texts:
-                broken = broken | F.coalesce(F.contains(F.col(f"`{c}`"), F.lit(REPLACEMENT)), F.lit(False))
-            bad = not df.where(broken).isEmpty()
-        if bad:
-            df = load("ISO-8859-1")
     if df.isEmpty():
         raise ValueError(f"the file has no rows: {path}")
     return df

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+PARAMETERS = ("offset", "limit", "page", "per_page", "cursor", "next_cursor")
+
+
 def auth_headers(kind: str | None, token: str | None) -> dict[str, str]:
     """Request headers for bearer, basic or api_key."""
     if not kind or not token:
@@ -35,8 +38,8 @@ def answer_items(body) -> list[dict]:
 
 
 class _Stride(InputPartition):
-    def __init__(self, first: int, step: int):
-        self.first, self.step = first, step
+    def __init__(self, first: int, step: int, size: int):
+        self.first, self.step, self.size = first, step, size
 
 
 def _fetched(fetch, request):
@@ -45,18 +48,34 @@ def _fetched(fetch, request):
 
 
 class _PageReader(DataSourceReader):
-    """Reads every `partitions`-th page until one is short or empty.
+    """Reads every `partitions`-th page until one is empty.
 
     Pages are dealt out in strides, so tasks read side by side without the total being
-    known. A cursor has to be followed in order and is one partition.
+    known. A service may give fewer items per page than asked for: the first page tells how
+    many, and offsets go on from that. A cursor has to be followed in order and is one
+    partition.
     """
 
     def __init__(self, spec: dict, names: list[str]):
         self.spec, self.names = spec, names
 
     def partitions(self):
-        n = 1 if self.spec["paging"] == "cursor" else self.spec["partitions"]
-        return [_Stride(i, n) for i in range(n)]
+        spec = self.spec
+        n = 1 if spec["paging"] == "cursor" else spec["partitions"]
+        if spec["paging"] == "offset":
+            got = len(self._page(0, spec["page_size"]))
+            return [_Stride(i, n, min(got, spec["page_size"]) or 1) for i in range(n)]
+        return [_Stride(i, n, spec["page_size"]) for i in range(n)]
+
+    def _page(self, number: int, size: int) -> list[dict]:
+        spec, name = self.spec, self.spec["names"]
+        where = (
+            {name["offset"]: number * size, name["limit"]: size}
+            if spec["paging"] == "offset"
+            else {name["page"]: number + 1, name["per_page"]: size}
+        )
+        base = {"headers": spec["headers"], "params": {**spec["params"], **where}}
+        return answer_items(_fetched(spec["fetch"], base))
 
     def _row(self, item: dict) -> tuple:
         return tuple(item.get(n) for n in self.names)
@@ -64,30 +83,25 @@ class _PageReader(DataSourceReader):
     def read(self, partition: _Stride) -> Iterator[tuple]:
         spec = self.spec
         base = {"headers": spec["headers"], "params": spec["params"]}
-        size = spec["page_size"]
+        name = spec["names"]
         if spec["paging"] == "cursor":
             cursor = None
             while True:
-                params = {**base["params"], "limit": size}
+                params = {**base["params"], name["limit"]: spec["page_size"]}
                 if cursor is not None:
-                    params["cursor"] = cursor
+                    params[name["cursor"]] = cursor
                 body = _fetched(spec["fetch"], {**base, "params": params})
                 items = answer_items(body)
                 yield from map(self._row, items)
-                cursor = body.get("next_cursor") if isinstance(body, dict) else None
+                cursor = body.get(name["next_cursor"]) if isinstance(body, dict) else None
                 if not items or not cursor:
                     return
         page = partition.first
         while True:
-            where = (
-                {"offset": page * size, "limit": size}
-                if spec["paging"] == "offset"
-                else {"page": page + 1, "per_page": size}
-            )
-            items = answer_items(_fetched(spec["fetch"], {**base, "params": {**base["params"], **where}}))
-            yield from map(self._row, items)
-            if len(items) < size:
+            items = self._page(page, partition.size)
+            if not items:
                 return
+            yield from map(self._row, items)
             page += partition.step
 
 
@@ -101,11 +115,13 @@ def paged_source(
     auth: str | None = None,
     token: str | None = None,
     params: dict | None = None,
+    names: dict | None = None,
 ) -> type[DataSource]:
     """A data source class for `spark.dataSource.register`.
 
     `fetch` takes {headers, params} and gives the JSON answer; it runs on executors.
-    paging is offset, page or cursor.
+    paging is offset, page or cursor. `names` renames the parameters offset, limit, page,
+    per_page and cursor, and the answer's field next_cursor.
     """
     if paging not in ("offset", "page", "cursor"):
         raise ValueError(f"unknown paging: {paging}")
@@ -116,6 +132,7 @@ def paged_source(
         "partitions": partitions,
         "headers": auth_headers(auth, token),
         "params": dict(params or {}),
+        "names": {k: k for k in PARAMETERS} | dict(names or {}),
     }
 
     class Paged(DataSource):

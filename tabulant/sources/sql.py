@@ -57,9 +57,21 @@ def describe_tables(
 
 def variant_type_to_ddl(text: str) -> str:
     """A variant schema as a type Spark can parse JSON with."""
-    ddl = text.replace("OBJECT<", "STRUCT<")
-    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
-    return ddl.replace("VOID", "STRING").replace("VARIANT", "STRING")
+
+    def typed(m: re.Match) -> str:
+        if m["decimal"]:
+            # what a double holds is read as one
+            return m["type"] if int(m["digits"]) > 15 else "DOUBLE"
+        return {"OBJECT": "STRUCT", "VOID": "STRING", "VARIANT": "STRING"}[m["type"]]
+
+    # a type stands at the start, after "name: " or in ARRAY<...>; names stay as they are
+    return re.sub(
+        r"`(?:[^`]|``)*`|(?:^|(?<=: )|(?<=ARRAY<))"
+        r"(?P<type>OBJECT(?=<)|VOID|VARIANT|(?P<decimal>DECIMAL\((?P<digits>\d+),\s*\d+\)))"
+        r"(?=[,<>]|$)",
+        lambda m: typed(m) if m["type"] else m[0],
+        text,
+    )
 
 
 def body_schema(df: DataFrame, body: str) -> str:

@@ -33,21 +33,32 @@ def stream_chunks(
 ) -> int:
     """Pass every chunk to `handle(chunk, number)` until the folder is read; gives the count.
 
-    The checkpoint remembers finished chunks, so a restarted run goes on where it was.
+    The checkpoint remembers finished chunks, so a restarted run goes on where it was. A
+    run that is not done after `timeout` seconds is stopped and raises TimeoutError.
     """
     spark = stream.sparkSession
+    handled: set[int] = set()
+
+    def counted(chunk: DataFrame, number: int) -> None:
+        handle(chunk, number)
+        handled.add(number)
+
     query = (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(counted)
         .option("checkpointLocation", checkpoint or f"{shared_folder(spark)}/chunks")
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination(timeout)
-    return sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"{len(handled)} chunks were handled in {timeout} s, not all")
+    return len(handled)
 
 
 def running_profile(stream: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows, nulls, minimum, maximum, sum and sum of squares per numeric column.
+    """Rows, nulls, minimum, maximum, sum, sum of squares and variance per numeric column.
 
     Every measure merges across chunks, so the same expression serves batch and stream.
     """
@@ -63,6 +74,7 @@ def running_profile(stream: DataFrame, columns: Sequence[str] | None = None) ->
             F.max(v).alias("max"),
             F.sum(v).alias("sum"),
             F.sum(v * v).alias("sum_squares"),
+            F.var_samp(v).alias("variance"),
         )
     )
 
@@ -72,7 +84,7 @@ def streaming_profile(
 ) -> DataFrame:
     """Run the profile over all available chunks and give its final state.
 
-    The state is one row per column. Mean and deviation follow from the sums.
+    The state is one row per column; the variance is kept as merged centred moments.
     """
     spark = stream.sparkSession
     name = f"profile_{uuid.uuid4().hex}"
@@ -88,7 +100,9 @@ def streaming_profile(
     query.awaitTermination()
     n = F.col("rows") - F.col("nulls")
     mean = F.try_divide("sum", n)
-    var = F.try_divide(F.col("sum_squares") - F.col("sum") * mean, n - 1)
-    return spark.table(name).select(
-        "*", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std")
+    out = spark.table(name)
+    return out.select(
+        *[c for c in out.columns if c != "variance"],
+        mean.alias("mean"),
+        F.sqrt("variance").alias("std"),
     )
