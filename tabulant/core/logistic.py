@@ -7,6 +7,7 @@ and needs no row sample.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -71,11 +72,12 @@ def logistic_accuracies(
     centre: np.ndarray,
     scale: np.ndarray,
     ridge: float = 1.0,
-    passes: int = 6,
+    passes: int = 50,
 ) -> list[float]:
     """Share of rows the fitted model of each subset classifies rightly.
 
-    `label` holds 0..classes-1 and the features are complete doubles.
+    `label` holds 0..classes-1 and the features are complete doubles. Newton steps go on
+    until no weight moves by 1e-4; a fit that is not there after `passes` is warned about.
     """
     features = list(features)
     columns = [[features.index(c) for c in s] for s in subsets]
@@ -97,6 +99,8 @@ def logistic_accuracies(
         for r in rows:
             sums.setdefault(r["s"], {})[r["k"]] = r["v"]
         if last:
+            if step >= 1e-4:
+                warnings.warn(f"logistic fits moved by {step:.2g} in pass {passes}: not converged")
             return [sums[s][0] / sums[s][1] if s in sums else 0.0 for s in range(len(columns))]
         step = 0.0
         for s, w in enumerate(weights):

@@ -108,7 +108,7 @@ def test_test_words(spark):
         "p_value double, r_squared double, effect_size double",
     )
     text = [r["sentence"] for r in interpret.label_tests(df).orderBy("p_value").collect()]
-    assert "75%" in text[0] and "practical importance" in text[0] and "artifact" in text[0]
+    assert "75%" in text[0] and "practical importance" in text[0] and "large enough" in text[0]
     assert "marginally significant" in text[1]
     assert "not statistically significant" in text[2] and "30%" in text[2]
 
