@@ -200,8 +200,7 @@ def permutation_test(
         present(df, group).cast("string").alias("class"), number(df, feature).alias("v")
     ).dropna()
     observed = mann_whitney(df, [feature], group).first()
-    classes = [r["class"] for r in base.select("class").distinct().limit(3).collect()]
-    first = min(classes)
+    first = base.agg(F.min("class")).first()[0]
     parts = slice_count(df)
     sliced = with_slices(base, ["v"], quantile_edges(base, ["v"], parts), ["slice"])
     values = sliced.groupBy("slice", "v").agg(

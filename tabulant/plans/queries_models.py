@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tabulant.operators import bayes, cluster, evaluate, models, tuning
 from tabulant.plans.registry import query, rounded, table
 
-DIMS = [f"e{i}" for i in range(4)]
+WIDTH = 64
+DIMS = [f"e{i}" for i in range(WIDTH)]
+FIRST = DIMS[:4]
 
 
-def vectors(spark, sf, dims=4):
+def vectors(spark, sf, dims=WIDTH):
     return table(spark, sf, "embeddings").select(
         "vec_id",
         "label",
@@ -22,7 +24,7 @@ def vectors(spark, sf, dims=4):
 
 
 VEC = "v AS (SELECT vec_id, label, " + ", ".join(
-    f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(4)
+    f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(len(FIRST))
 ) + " FROM embeddings)"
 
 
@@ -146,10 +148,10 @@ def q_pca(spark, sf):
 )
 def q_pca_variance(spark, sf):
     df = vectors(spark, sf)
-    model = cluster.fit_pca(df, DIMS, scale=False)
+    model = cluster.fit_pca(df, FIRST, scale=False)
     out = model.transform(df)
     return rounded(
-        out.agg(*[F.var_samp(f"pc_{i}").alias(f"v{i}") for i in range(4)]).select(
+        out.agg(*[F.var_samp(f"pc_{i}").alias(f"v{i}") for i in range(len(FIRST))]).select(
             (F.col("v0") + F.col("v1") + F.col("v2") + F.col("v3")).alias("total_variance")
         ),
         8,
@@ -158,12 +160,12 @@ def q_pca_variance(spark, sf):
 
 @query(
     "pca_inverse",
-    f"WITH {VEC} SELECT vec_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in DIMS) + " FROM v",
+    f"WITH {VEC} SELECT vec_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FIRST) + " FROM v",
 )
 def q_pca_inverse(spark, sf):
     df = vectors(spark, sf)
-    model = cluster.fit_pca(df, DIMS)
-    return rounded(model.inverse(model.transform(df)).select("vec_id", *DIMS), 6)
+    model = cluster.fit_pca(df, FIRST)
+    return rounded(model.inverse(model.transform(df)).select("vec_id", *FIRST), 6)
 
 
 @query(
@@ -203,7 +205,7 @@ def q_automl_numbers(spark, sf):
 
 @query("automl_clustering")
 def q_automl_clusters(spark, sf):
-    return models.automl(vectors(spark, sf).select(*DIMS)).leaderboard.drop("seconds")
+    return models.automl(vectors(spark, sf).select(*FIRST)).leaderboard.drop("seconds")
 
 
 @query("automl_series")
@@ -301,28 +303,28 @@ def q_series_metrics(spark, sf):
 @query(
     "clustering_metrics",
     f"""WITH {VEC}, c AS (SELECT label, count(*)::DOUBLE AS n, """
-    + ", ".join(f"avg({d}) AS m{i}" for i, d in enumerate(DIMS))
+    + ", ".join(f"avg({d}) AS m{i}" for i, d in enumerate(FIRST))
     + " FROM v GROUP BY 1), g AS (SELECT "
-    + ", ".join(f"avg({d}) AS g{i}" for i, d in enumerate(DIMS))
+    + ", ".join(f"avg({d}) AS g{i}" for i, d in enumerate(FIRST))
     + ", count(*)::DOUBLE AS n FROM v), w AS (SELECT label, avg(sqrt(d2)) AS s, sum(d2) AS ss FROM (SELECT label, "
-    + " + ".join(f"({d} - m{i}) ** 2" for i, d in enumerate(DIMS))
+    + " + ".join(f"({d} - m{i}) ** 2" for i, d in enumerate(FIRST))
     + " AS d2 FROM v JOIN c USING (label)) GROUP BY 1), b AS (SELECT sum(c.n * ("
-    + " + ".join(f"(m{i} - g{i}) ** 2" for i in range(4))
+    + " + ".join(f"(m{i} - g{i}) ** 2" for i in range(len(FIRST)))
     + ")) AS b, count(*) AS k, any_value(g.n) AS n FROM c, g), r AS (SELECT x.label, max((wx.s + wy.s) / sqrt("
-    + " + ".join(f"(x.m{i} - y.m{i}) ** 2" for i in range(4))
+    + " + ".join(f"(x.m{i} - y.m{i}) ** 2" for i in range(len(FIRST)))
     + """)) AS r FROM c x JOIN c y ON x.label <> y.label JOIN w wx ON wx.label = x.label
       JOIN w wy ON wy.label = y.label GROUP BY 1)
     SELECT round((b / (k - 1)) / ((SELECT sum(ss) FROM w) / (n - k)), 6) AS calinski_harabasz,
       round((SELECT avg(r) FROM r), 6) AS davies_bouldin, k AS n_clusters, CAST(n AS BIGINT) AS n FROM b""",
 )
 def q_cluster_metrics(spark, sf):
-    out = evaluate.clustering_metrics(vectors(spark, sf), DIMS, "label", silhouette=False)
+    out = evaluate.clustering_metrics(vectors(spark, sf), FIRST, "label", silhouette=False)
     return rounded(out.drop("silhouette"), 6)
 
 
 @query("silhouette")
 def q_silhouette(spark, sf):
-    out = evaluate.clustering_metrics(vectors(spark, sf), DIMS, "label")
+    out = evaluate.clustering_metrics(vectors(spark, sf), FIRST, "label")
     return out.select("silhouette", "n_clusters")
 
 
