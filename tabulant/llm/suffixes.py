@@ -345,7 +345,7 @@ def repeated_spans(
     smallest id, so a passage of very many documents is no hot key. `gram` (below `length`)
     only sets how selective the dealing is.
     """
-    dealt, parts = batched(texts(docs, key, text))
+    dealt, parts = batched(texts(docs, key, text), 8 << 20)
 
     def ask_codes(table: pa.Table) -> dict[int, bytes]:
         code, _, edge = Batch(table, parts, length, gram).questions(parts)
