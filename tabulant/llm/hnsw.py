@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: one navigable small-world hierarchy per shard.
 
-A shard's graph is kept as flat arrays: the vectors, and per layer one row of neighbour
-numbers per member. Many points are inserted, and many queries answered, side by side. The
+Equal vectors are one point: a graph whose points have copies would link copies to copies
+only. A shard's graph is kept as flat arrays: the vectors, the smallest ids of each, and per
+layer one row of neighbour numbers per member. Many points are inserted, and many queries answered, side by side. The
 largest inner products of all shards are merged. Inner products become distances by one
 more coordinate that gives all vectors of a shard the same length.
 """
@@ -202,12 +203,15 @@ def search(
     return np.concatenate(out)
 
 
-INDEX = "shard int, ids binary, vectors binary, layers array<binary>, entry int"
+INDEX = (
+    "shard int, ids binary, members binary, sizes binary, vectors binary, "
+    "layers array<binary>, entry int"
+)
 FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v (array of double) of the rows that take part, one row per id and vector."""
+    """id and v (array of double) of the rows that take part."""
     v = F.col(f"`{vector}`").cast("array<double>")
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     got = (
@@ -221,12 +225,29 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return got.where(F.size("v") == (top["n"] if top else 0))
 
 
+def distinct_vectors(good: DataFrame, keep: int, salts: int = 16) -> DataFrame:
+    """v and members: its `keep` smallest ids, ascending. One row per vector.
+
+    The ids of a vector are cut to `keep` in each partition first and in `salts` parts then,
+    so that a vector of very many rows is no single task's work.
+    """
+    one = good.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    order = Window.partitionBy("v", "salt").orderBy("id")
+    few = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
+    members = F.slice(F.sort_array(F.collect_list("id")), 1, keep)
+    return few.groupBy("v").agg(members.alias("members"))
+
+
 def _build(most: int, ef: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
+        column = table.column("members").combine_chunks()
+        sizes = pa.compute.list_value_length(column).to_numpy().astype(np.int64)
+        members = np.array(column.flatten())
+        ids = members[np.cumsum(sizes) - sizes]
         v = np.array(table.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
+        order = np.lexsort((*v.T[::-1], ids))
+        members = members[spread((np.cumsum(sizes) - sizes)[order], sizes[order])]
+        ids, sizes, v = ids[order], sizes[order], v[order]
         layers = build(ids, v, most, ef)
         entry = int(np.flatnonzero((layers[-1] >= 0).any(1))[0]) if (layers[-1] >= 0).any() else -1
         if entry < 0:  # a top layer of one point
@@ -235,6 +256,8 @@ def _build(most: int, ef: int):
             {
                 "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()),
                 "ids": pa.array([ids.tobytes()], pa.binary()),
+                "members": pa.array([members.tobytes()], pa.binary()),
+                "sizes": pa.array([sizes.tobytes()], pa.binary()),
                 "vectors": pa.array([v.tobytes()], pa.binary()),
                 "layers": pa.array(
                     [[a.astype(np.int32).tobytes() for a in layers]], pa.list_(pa.binary())
@@ -246,11 +269,22 @@ def _build(most: int, ef: int):
     return run
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
+
+
 def _lone(layers: list[np.ndarray], ids: np.ndarray, most: int) -> int:
     draw = (mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(np.float64)
     return int(np.argmin(draw)) if len(layers) > 1 else 0
 
 
+def ranked(r: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by query, falling score and id, and the ranks from 0 within the queries."""
+    order = np.lexsort((ids, -score, r))
+    return order, np.arange(len(r)) - np.searchsorted(r[order], r[order])
+
+
 def _search(k: int, ef: int):
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -261,17 +295,29 @@ def _search(k: int, ef: int):
             layers = [np.frombuffer(a, np.int32).reshape(len(ids), -1) for a in row["layers"]]
             qid = asked.column("id").to_numpy()
             q = np.array(asked.column("v").combine_chunks().flatten()).reshape(len(qid), -1)
+            members = np.frombuffer(row["members"], np.int64)
+            sizes = np.frombuffer(row["sizes"], np.int64)
+            begin = np.cumsum(sizes) - sizes
             got = search(layers, v, q, row["entry"], max(ef, k + 1))
-            r, c = np.nonzero(got >= 0)
-            node = got[r, c]
-            score = (v[node] * q[r]).sum(1)
-            ok = ids[node] != qid[r]
-            r, node, score = r[ok], node[ok], score[ok]
-            order = np.lexsort((ids[node], -score, r))
-            r, node, score = r[order], node[order], score[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(qid)))[r]
-            top = rank < k
-            out = {"query_id": qid[r[top]], "vec_id": ids[node[top]], "score": score[top]}
+            for low in range(0, len(qid), 2000):
+                part = slice(low, low + 2000)
+                r, c = np.nonzero(got[part] >= 0)
+                node = got[part][r, c]
+                score = (v[node] * q[part][r]).sum(1)
+                # k of the first k + 1 points' members other than the query are the first k of all
+                top = ranked(r, score, ids[node])
+                top = top[0][top[1] <= k]
+                r, node, score = r[top], node[top], score[top]
+                vec = members[spread(begin[node], sizes[node])]
+                r, score = np.repeat(r, sizes[node]), np.repeat(score, sizes[node])
+                ok = vec != qid[part][r]
+                r, vec, score = r[ok], vec[ok], score[ok]
+                top = ranked(r, score, vec)
+                top = top[0][top[1] < k]
+                out["query_id"].append(qid[part][r[top]])
+                out["vec_id"].append(vec[top])
+                out["score"].append(score[top])
+        out = {n: np.concatenate(x) if x else [] for n, x in out.items()}
         return pa.table(
             {
                 "query_id": pa.array(out["query_id"], pa.int64()),
@@ -291,15 +337,17 @@ def build_index(
     shard_rows: int = 250_000,
     most: int = 16,
     ef: int = 80,
+    keep: int = 21,
 ) -> DataFrame:
     """One row per shard: ids, vectors and the layers' neighbour arrays, in the shared folder.
 
-    At least `shards` graphs, more if one would hold over `shard_rows` rows; every row that
-    takes part is in one, dealt by a hash of its id.
+    At least `shards` graphs, more if one would hold over `shard_rows` vectors; every vector
+    that takes part is in one, dealt by its hash, with its `keep` smallest ids (all that a
+    search for `keep` - 1 neighbours can need).
     """
-    good = usable(rows, key, vector)
+    good = written(distinct_vectors(usable(rows, key, vector), keep))
     parts = max(shards, -(-good.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    shard = F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")
     return written(
         good.withColumn("shard", shard).groupBy("shard").applyInArrow(_build(most, ef), INDEX)
     )
@@ -323,7 +371,7 @@ def nearest(
     length than most take no part; repeated query ids count once. Empty tables give no rows.
     Queries meet every shard in blocks of about `query_rows`.
     """
-    graphs = build_index(rows, key, vector, **index)
+    graphs = build_index(rows, key, vector, keep=k + 1, **index)
     asked = usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // query_rows))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)))

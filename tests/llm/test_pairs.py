@@ -1,5 +1,6 @@
 """Repeated strings and passages, similar documents, neighbours, and the pipeline."""
 
+import math
 import random
 
 import numpy as np
@@ -182,6 +183,29 @@ def test_nearest(spark):
     assert nearest(df.limit(0), asked).count() == 0
 
 
+def test_nearest_among_copies(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 12))
+    v[rng.permutation(1500)[:500]] = v[7]  # a third of the rows are copies of one
+    v[[20, 40, 60]] = v[[80, 100, 120]]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = nearest(df, df.where("vec_id % 20 = 0"), 10, shards=2).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == set(range(0, 1500, 20))
+    hits = 0
+    for q, got in found.items():
+        assert len(got) == 10
+        s = np.array([math.fsum(x) for x in v * v[q]])
+        s[q] = -np.inf
+        hits += len(set(got) & set(np.lexsort((np.arange(1500), -s))[:10].tolist()))
+        if np.array_equal(v[q], v[7]):  # ties go to the smaller ids
+            same = [i for i in np.flatnonzero((v == v[7]).all(1)).tolist() if i != q]
+            assert set(got) & set(same) <= set(same[:10])
+    assert hits >= 0.97 * 10 * len(found)
+
+
 def test_pipeline_stages(spark, docs_of, tmp_path, messy_rows):
     import corpus_pipeline as pipeline
 
