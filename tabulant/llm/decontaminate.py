@@ -98,7 +98,7 @@ def window_patterns(items: list[tuple[str, bytes]], window: int) -> dict[bytes,
     return owners
 
 
-def _scanner(items: list[tuple[str, bytes]], window: int):
+def _scanner(items: list[tuple[str, bytes]], window: int, id_type: pa.DataType = pa.int64()):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = window_patterns(items, window)
         by_size = defaultdict(list)
@@ -138,7 +138,7 @@ def _scanner(items: list[tuple[str, bytes]], window: int):
                 names.append(sorted(got))
             yield pa.record_batch(
                 [
-                    pa.array(ids, pa.int64()),
+                    pa.array(ids, id_type),
                     pa.array(counts, pa.int64()),
                     pa.array(
                         spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -152,6 +152,7 @@ def _scanner(items: list[tuple[str, bytes]], window: int):
 
 
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+MARKED = SCHEMA.replace("doc_id long", "doc_id struct<id:long,mark:string>")
 
 
 def find_contamination(
@@ -170,7 +171,8 @@ def find_contamination(
     items (sorted ids with an occurring window). An item with fewer than `window` words is
     one window. The items are the stated query set; they are taken in blocks of about
     `block_bytes` of text, so what is sent to executors at once has that bound, and each
-    block is a scan of the documents. With one block there is no shuffle.
+    block is a scan of the documents. With one block there is no shuffle; with more, the
+    blocks' findings meet by id and digest of the text, and come back once per repeat.
 
     A null text has no words; an empty table gives no rows; repeated rows give a row each;
     rows of `benchmark` with a null id or text are no item, and repeated item ids pool
@@ -186,23 +188,25 @@ def find_contamination(
         got = [(r.i, r.t.encode()) for r in queries.collect()]
         return rows.mapInArrow(_scanner(got, window), SCHEMA)
     dealt = queries.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("row"))
+    rows = rows.select(F.struct("id", F.sha2("text", 256).alias("mark")).alias("id"), "text")
+    id_type = pa.struct([("id", pa.int64()), ("mark", pa.string())])
     found = None
     for k in range(blocks):
         got = [(r.i, r.t.encode()) for r in dealt.where(F.col("k") == k).collect()]
-        part = rows.mapInArrow(_scanner(got, window), SCHEMA)
+        part = rows.mapInArrow(_scanner(got, window, id_type), MARKED)
         found = part if found is None else found.unionByName(part)
-    # repeated rows with one id find the same spans only if their texts agree
-    marks = found.select(
-        "doc_id", "n_words", F.explode_outer("spans").alias("s"), "items"
-    )
+    # equal rows find the same, each once per block
+    repeats = F.sequence(F.lit(1), (F.count("*") / blocks).cast("int"))
     return (
-        marks.groupBy("doc_id", "n_words")
+        found.groupBy("doc_id", "n_words")
         .agg(
-            F.sort_array(F.collect_set("s")).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+            repeats.alias("repeats"),
         )
-        .select("doc_id", "n_words", _merged("spans").alias("spans"), "items")
+        .withColumn("repeat", F.explode("repeats"))
+        .select("doc_id.id", "n_words", _merged("spans").alias("spans"), "items")
+        .withColumnRenamed("id", "doc_id")
     )
 
 

@@ -204,6 +204,18 @@ def test_contamination(spark, docs_of, messy_rows, block_bytes):
     assert find_contamination(docs_of([]), bench).count() == 0
 
 
+def test_contamination_in_blocks_keeps_rows(spark, docs_of, messy_rows):
+    base = messy_rows[0][1]
+    w = base.split()
+    items = [(i, " ".join(w[5 * i : 5 * i + 12])) for i in range(20)] + [(20, "x")]
+    two = [(None, " ".join(w[:30])), (None, " ".join(w[40:70])), (70, " ".join(w[:30])), (70, " ".join(w[40:70]))]
+    rows = [*messy_rows, *two, *two, (None, None), (None, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [find_contamination(docs_of(rows), bench, 10, block_bytes=n).collect() for n in (8 << 20, 300)]
+    one, more = (sorted(str(tuple(r)) for r in f) for f in found)
+    assert len(one) == len(rows) and more == one
+
+
 def test_wu_manber_finds_all():
     rng = random.Random(6)
     text = bytes(rng.choice(b"ab ") for _ in range(5000))
