@@ -38,18 +38,19 @@ OCTETS = "".join(chr(0x4E00 + i) for i in range(256))
 _NAMES = "|".join(n for names in GIVEN for n in names)
 _INITIALS = "".join(sorted({n[0] for names in GIVEN for n in names} | set("MDP")))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: kind, pattern; at one place the first that matches wins. Quantifiers are bounded and
-#: starts are held to the edges of words, so that no text makes the search backtrack far;
-#: a look at the first character comes first, because it rules most places out.
+#: kind, pattern; at one place the first that matches wins. Values of any length match:
+#: their quantifiers are possessive, the others bounded and starts held to the edges of
+#: words, so that no text makes the search backtrack far. A domain has at most 127 labels
+#: of 63 characters. A look at the first character comes first, because it rules most places out.
 PATTERNS = [
     (
         "email",
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}"
-        r"\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}"
+        r"\.[A-Za-z]{2,63}(?![A-Za-z0-9])",
     ),
     ("key", r"(?=A)(?<![A-Za-z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("password", r"(?=[Pp])(?i:password|passwd|pwd)[ ]?[=:][ ]?\"?[^\s\"']{6,128}"),
-    ("token", r"(?=[TtSsAa])(?i:token|secret|api_key)[ ]?[=:][ ]?\"[A-Za-z0-9_./+=-]{12,512}\""),
+    ("password", r"(?=[Pp])(?i:password|passwd|pwd)[ ]?[=:][ ]?\"?[^\s\"']{6,}+"),
+    ("token", r"(?=[TtSsAa])(?i:token|secret|api_key)[ ]?[=:][ ]?\"[A-Za-z0-9_./+=-]{12,}+\""),
     ("ip", rf"(?=[0-9])(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])"),
     (
         "phone",
@@ -63,7 +64,7 @@ PATTERNS = [
     ),
     (
         "person",
-        rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? )?(?:{_NAMES}) \p{{Lu}}\p{{Ll}}{{1,30}}(?!\p{{L}})",
+        rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? )?(?:{_NAMES}) \p{{Lu}}\p{{Ll}}++(?!\p{{L}})",
     ),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
@@ -157,9 +158,8 @@ def _luhn(number: Column) -> Column:
 
 
 def _shifted(text: Column, digest: Column, state: Column) -> Column:
-    def shift(i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        by = F.conv(F.substring(digest, 1 + 2 * ((i - 1) % 32), F.lit(2)), 16, 10).cast("int")
+    def shift(c: Column, i: Column) -> Column:
+        by = F.conv(F.substring(digest, 1 + 2 * (i % 32), F.lit(2)), 16, 10).cast("int")
         out = c
         for j in reversed(range(N_CLASSES)):
             a = state[f"c{j}"]
@@ -168,7 +168,7 @@ def _shifted(text: Column, digest: Column, state: Column) -> Column:
             out = F.when((F.length(a) > 0) & (at > 0), turned).otherwise(out)
         return out
 
-    moved = F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), shift), "")
+    moved = F.array_join(F.transform(F.split(text, ""), shift), "")
     return F.when(F.length(text) == 0, text).otherwise(moved)
 
 

@@ -162,6 +162,29 @@ def test_surrogates(docs_of, messy_rows):
     assert replace_entities(docs_of([]), "key").count() == 0
 
 
+def test_surrogates_of_long_secrets(docs_of):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("abcdefghjkmnpqrtuvwxyz23456789") for _ in range(n))
+    password, token, local, many = draw(200), draw(2000), draw(90), draw(5_000)
+    domain = ".".join(draw(6) for _ in range(9)) + ".com"
+    name = "Q" + "abcdefgh" * 5
+    rows = [
+        (1, f"x password={password} y"),
+        (2, f'x token="{token}" y'),
+        (3, f"x {local}@mail.example.com y"),
+        (4, f"x a.b@{domain} y"),
+        (5, f"x Dr. Anna {name} y"),
+        (6, f"x pwd: {many} y"),
+    ]
+    got = {r.doc_id: r for r in replace_entities(docs_of(rows), "key").collect()}
+    for i, secret in enumerate((password, token, local, domain, name, many), 1):
+        assert got[i].n_entities == 1 and got[i].text[:2] == "x " and got[i].text[-2:] == " y"
+        if i != 5:
+            assert len(got[i].text) == len(rows[i - 1][1])
+        kept = {secret[j : j + 12] for j in range(len(secret) - 11)}
+        assert not any(got[i].text[j : j + 12] in kept for j in range(len(got[i].text) - 11))
+
+
 def test_surrogates_stay_distinct(docs_of):
     many = [(i, f"{i:03d}-{i % 97:02d}-{i * 7 % 10000:04d} 10.0.{i // 250}.{i % 250}") for i in range(600)]
     got = replace_entities(docs_of(many), "key").collect()
