@@ -154,6 +154,38 @@ def test_near_passages(docs_of, messy_rows):
     assert near_passages(docs_of([])).count() == 0
 
 
+def test_near_passages_of_one_pair(docs_of):
+    w = [f"w{i}" for i in range(400)]
+    new = [f"n{i}" for i in range(8)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:200] + new + w[200:]))]
+    got = {r.doc_id: r for r in near_passages(docs_of(rows)).collect()}
+    assert got[1].n_repeated == 400 and 400 <= got[2].n_repeated <= 408
+
+
+def test_passing_runs_are_all():
+    from tabulant.llm.passages import passing_runs, widest
+
+    rng = np.random.default_rng(6)
+    for case in range(60):
+        a = rng.integers(0, 4 if case % 3 == 0 else 1000, 90)
+        b = np.concatenate([a[50:80], rng.integers(0, 1000, 4), a[:25], a[28:50], a[5:20]])
+        b[rng.random(len(b)) < 0.03] = 7
+        for most in (1 << 22, 60):
+            want, runs = {}, passing_runs(a, b, 10, 0.8, most)
+            for i in range(len(a) - 9):
+                for k in range(len(b) - 9):
+                    x, y = set(a[i : i + 10].tolist()), set(b[k : k + 10].tolist())
+                    if len(x & y) / len(x | y) >= 0.8:
+                        want[i, k] = len(x & y) / len(x | y)
+            got = [(i, i - d) for x, y, d, _ in runs for i in range(x, y + 1)]
+            assert len(got) == len(set(got)) and set(got) == set(want)
+            assert all(j == max(want[i, i - d] for i in range(x, y + 1)) for x, y, d, j in runs)
+            wide = widest(runs)
+            for side in (0, 1):
+                held = {i - side * d for x, y, d, _ in wide for i in range(x, y + 1)}
+                assert held == {g[side] for g in want}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2, size=(1500, 1))
