@@ -19,6 +19,7 @@ from tabulant.llm.jaccard import similar_components
 from tabulant.llm.language import identify, train
 from tabulant.llm.lm import score_texts
 from tabulant.llm.passages import near_passages
+from tabulant.llm.phrases import collocations
 from tabulant.llm.quality import grade_texts
 from tabulant.llm.quality import train as train_grades
 from tabulant.llm.suffixes import repeated_spans
@@ -224,3 +225,41 @@ def op8_passages(spark, sf_dir):
         ),
         "passages",
     )
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+), ng AS (
+  SELECT lang, k, p, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) AS t(k) WHERE len(w) >= k)
+  ) GROUP BY ALL
+), tot AS (SELECT lang, sum(f) AS n FROM ng WHERE k = 1 GROUP BY lang
+), cand AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM ng WHERE k > 1 AND f >= 30
+), cut AS (
+  SELECT lang, p, a, j, array_to_string(w[1:j], ' ') AS p1, array_to_string(w[j + 1:], ' ') AS p2
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)
+), scored AS (
+  SELECT cut.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM cut JOIN ng x ON x.lang = cut.lang AND x.p = p1 JOIN ng y ON y.lang = cut.lang AND y.p = p2
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1
+), longer AS (
+  SELECT lang, s AS p, max(a) AS m FROM (
+    SELECT lang, a, k, m, array_to_string(w[i:i + m - 1], ' ') AS s
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM cand, range(2, 4) AS t(m) WHERE m < k)
+  ) GROUP BY 1, 2
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN longer USING (lang, p) WHERE longer.m IS NULL OR 100 * longer.m < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN tot USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrases", OP12_SQL)
+def op12_phrases(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
