@@ -24,6 +24,7 @@ from tabulant.llm.quality import grade_texts
 from tabulant.llm.quality import train as train_grades
 from tabulant.llm.suffixes import repeated_spans
 from tabulant.llm.surrogates import replace_entities
+from tabulant.llm.trie import rebuilt, trie_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -263,3 +264,47 @@ FROM kept JOIN tot USING (lang) QUALIFY rank <= 2000
 @query("op12_phrases", OP12_SQL)
 def op12_phrases(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP11_SQL = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(length(role) || ':' || role || text), 32)) AS pos
+  FROM raw
+), bits AS (
+  SELECT conv_id AS c, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)) AS crc
+  FROM (SELECT DISTINCT conv_id FROM raw)
+), m AS (SELECT c, c - c % 20 AS base, CAST(xor(crc, 4294967295::UBIGINT) % 4 AS BIGINT) AS h FROM bits
+), steps AS (
+  SELECT c, 0 AS part, pos, role, text FROM m JOIN t ON t.conv_id = m.base AND pos <= h
+  UNION ALL SELECT c, 1, pos, role, text FROM m JOIN t ON t.conv_id = m.c AND pos > h
+), seq AS (
+  SELECT c, list([role, text] ORDER BY part, pos) AS s FROM steps GROUP BY c
+  UNION ALL SELECT c, [] FROM m WHERE c NOT IN (SELECT c FROM steps)
+), pre AS (SELECT c, len(s) AS size, d, s[1:d] AS p FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seq)
+), node AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d][2], '[^\x20\x09-\x0D]+')) END AS w
+  FROM pre GROUP BY p, d
+), kid AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL
+), full_ AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kid USING (p, d)
+), below AS (
+  SELECT a.p, a.d, sum(CASE WHEN b.k = 0 THEN 1 ELSE 0 END) AS leaves, sum((b.n - 1) * b.w) AS saved
+  FROM (SELECT p AS bp, d AS bd, n, k, w, unnest(range(0, d + 1)) AS ad FROM full_) b
+  JOIN full_ a ON a.d = b.ad AND a.p = b.bp[1:b.ad] GROUP BY ALL
+)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs,
+  CAST(f.k AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN below USING (p, d) LEFT JOIN node u ON f.d > 0 AND u.d = f.d - 1 AND u.p = f.p[1:f.d - 1]
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark, sf_dir):
+    steps, members = rebuilt(table(spark, sf_dir, "conversations"), group=20, heads=4)
+    return trie_of(steps, ["part", "pos"], members)
