@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulant.llm.bpe import decode, encode
+from tabulant.llm.common import work_path
 from tabulant.llm.decontaminate import find_contamination
 from tabulant.llm.hnsw import nearest
 from tabulant.llm.jaccard import similar_components
@@ -24,6 +25,7 @@ from tabulant.llm.quality import grade_texts
 from tabulant.llm.quality import train as train_grades
 from tabulant.llm.suffixes import repeated_spans
 from tabulant.llm.surrogates import replace_entities
+from tabulant.llm.tokenfiles import documents_of, write_tokens
 from tabulant.llm.trie import rebuilt, trie_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,3 +310,11 @@ FROM full_ f JOIN below USING (p, d) LEFT JOIN node u ON f.d > 0 AND u.d = f.d -
 def op11_prefix_trie(spark, sf_dir):
     steps, members = rebuilt(table(spark, sf_dir, "conversations"), group=20, heads=4)
     return trie_of(steps, ["part", "pos"], members)
+
+
+@query("op13_token_files")
+def op13_token_files(spark, sf_dir):
+    docs, path = table(spark, sf_dir, "documents"), work_path(spark)
+    write_tokens(docs, path, public_tokenizers.path(TOKENIZER), end_id=0)
+    found = documents_of(spark, path, docs, value=F.crc32("ids"))
+    return found.withColumnRenamed("ids", "ids_crc32")
