@@ -324,6 +324,35 @@ def stratified_kfold(df: DataFrame, label: str, row_key: str, k: int = 5) -> Dat
     return placed.withColumn("fold", F.pmod("__place", F.lit(k)).cast("int")).drop("__place")
 
 
+def holdout(
+    df: DataFrame,
+    label: str | None = None,
+    row_key: str | None = None,
+    share: float = 0.2,
+    folds: int = 0,
+    seed: int = 42,
+) -> DataFrame:
+    """Add `test` (boolean): round(share x n) rows of every class, drawn by a hash of the row.
+
+    Without `label` all rows are one class. Rows are numbered within their class in the
+    order of the hash, so the count is exact however few rows a class has; with `folds`
+    the other rows get `fold` 0..folds-1 in turn (null for test rows).
+    """
+    by = [label] if label else []
+    placed = positions(df.withColumn("__draw", row_hash(df, row_key, seed)), "__draw", by=by, name="__place")
+    if label:
+        sizes = df.groupBy(quoted(label)).agg(F.count(F.lit(1)).alias("__n"))
+        placed = attach(placed, sizes.withColumn("__w", F.col("__n")), by, weight="__w")
+    else:
+        placed = placed.withColumn("__n", F.lit(df.count()))
+    drawn = F.round(F.col("__n") * F.lit(share)).cast("long")
+    out = placed.withColumn("test", F.col("__place") < drawn)
+    if folds:
+        turn = F.pmod(F.col("__place") - drawn, F.lit(folds)).cast("int")
+        out = out.withColumn("fold", F.when(~F.col("test"), turn))
+    return out.drop("__draw", "__place", "__n")
+
+
 def time_series_folds(
     df: DataFrame, series: str, order: str, k: int = 5, gap: int = 0, test_size: int | None = None
 ) -> DataFrame:

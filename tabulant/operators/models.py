@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulant.core.columns import few_values, number, numeric_columns, present, quoted, text_columns
+from tabulant.core.lineage import cut_lineage
 from tabulant.core.lookup import attach, sorted_codes
-from tabulant.core.shuffle import row_hash
 from tabulant.operators import cluster
+from tabulant.operators.density import dbscan
 from tabulant.operators.evaluate import (
     classification_metrics,
     clustering_metrics,
     cross_validate,
-    kfold,
+    holdout,
     regression_metrics,
     series_metrics,
     summarise_folds,
@@ -341,71 +342,77 @@ def automl(
     folds: int = 5,
     row_key: str | None = None,
     tuning: Mapping | None = None,
-    small: bool = False,
+    settings: Mapping | None = None,
     seed: int = 42,
 ) -> AutoResult:
     """Infer the task, prepare, split 80/20, fit and compare candidates, keep the best.
 
-    `features` may be the feature list of a found hypothesis. `tuning` maps a model
-    name to a parameter space that is searched on the training part first. `small`
-    keeps the ensembles short.
+    Of each class, a fifth of the rows (rounded) is held out and the others are dealt over
+    the folds in turn, so rare classes are in all parts. `features` may be the feature list
+    of a found hypothesis. `tuning` maps a model name to a parameter space that is searched
+    on the training part first; `settings` maps a name to parameters that are set
+    ({"forest": {"numTrees": 20}}, {"dbscan": {"eps": 1.0}}).
     """
+    settings = {k: dict(v) for k, v in (settings or {}).items()}
     task = infer_task(df, target, time_column).first()["task"]
     features = list(
         features or [c for c in df.columns if c not in (target, time_column, series, row_key)]
     )
     if task == "clustering":
-        return _auto_clusters(df, [c for c in features if c in numeric_columns(df)], models, seed)
+        return _auto_clusters(df, [c for c in features if c in numeric_columns(df)], models, settings, seed)
     if task == "time_series":
         return _auto_series(df, target, time_column, series, models)
     return _auto_supervised(
-        df, target, features, task, models, folds, row_key, dict(tuning or {}), small, seed
+        df, target, features, task, models, folds, row_key, dict(tuning or {}), settings, seed
     )
 
 
-def candidate_estimators(task: str, classes: int, size: int, small: bool, seed: int) -> dict[str, Estimator]:
+def candidate_estimators(task: str, classes: int, size: int, seed: int) -> dict[str, Estimator]:
     """The models tried for a task."""
-    trees, rounds = (10, 5) if small else (100, 100)
     if task == "regression":
         return {
             "linear": LinearRegression(),
-            "forest": RandomForestRegressor(numTrees=trees, maxDepth=8, seed=seed),
-            "boosted": GBTRegressor(maxIter=rounds, maxDepth=6 if not small else 3, stepSize=0.1, seed=seed),
+            "forest": RandomForestRegressor(numTrees=100, maxDepth=8, seed=seed),
+            "boosted": GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed),
         }
-    boosted: Estimator = GBTClassifier(
-        maxIter=rounds, maxDepth=6 if not small else 3, stepSize=0.1, seed=seed
-    )
+    boosted: Estimator = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed)
     svm: Estimator = LinearSVC(maxIter=100)
     if classes > 2:
         boosted, svm = OneVsRest(classifier=boosted), OneVsRest(classifier=svm)
     return {
         "logistic": LogisticRegression(),
-        "forest": RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed),
+        "forest": RandomForestClassifier(numTrees=100, maxDepth=8, seed=seed),
         "boosted": boosted,
         "svm": svm,
         "perceptron": MultilayerPerceptronClassifier(
-            layers=[size, 64, 32, max(classes, 2)], maxIter=20 if small else 100, seed=seed
+            layers=[size, 64, 32, max(classes, 2)], maxIter=100, seed=seed
         ),
     }
 
 
-def _auto_supervised(df, target, features, task, models, folds, row_key, tuning, small, seed):
+def _with_settings(estimator: Estimator, params: Mapping) -> Estimator:
+    """The estimator with parameters set; those of its base model where it is one per class."""
+    if isinstance(estimator, OneVsRest):
+        return estimator.copy({estimator.classifier: _with_settings(estimator.getClassifier(), params)})
+    return estimator.copy({estimator.getParam(p): v for p, v in params.items()})
+
+
+def _auto_supervised(df, target, features, task, models, folds, row_key, tuning, settings, seed):
     from tabulant.operators.tuning import tune
 
     classes = task == "classification"
     keep = [*features, target, *([row_key] if row_key else [])]
     labelled, values = with_label(_typed(df.select(*keep), features), target, classes)
-    h = row_hash(labelled, row_key, seed)
-    # the split is by hash, so each class gives close to a fifth of its rows
-    parts = labelled.withColumn("__test", F.pmod(h, F.lit(100)) < 20).persist()
-    train, test = parts.where(~F.col("__test")), parts.where("__test")
+    parts = cut_lineage(holdout(labelled, "label" if classes else None, row_key, 0.2, folds, seed))
+    train, test = parts.where(~F.col("test")), parts.where("test")
     prep = Pipeline(stages=feature_stages(df, features)).fit(train)
-    fold = F.pmod(F.shiftright(row_hash(labelled, row_key, seed + 1), 8), F.lit(folds)).cast("int")
-    ready = prep.transform(train).select("features", "label", fold.alias("fold")).persist()
+    ready = prep.transform(train).select("features", "label", "fold").persist()
     held = prep.transform(test).select("features", "label").persist()
     size = ready.first()["features"].size
-    candidates = candidate_estimators(task, len(values or []), size, small, seed)
-    candidates = {k: v for k, v in candidates.items() if not models or k in models}
+    candidates = candidate_estimators(task, len(values or []), size, seed)
+    candidates = {
+        k: _with_settings(v, settings.get(k, {})) for k, v in candidates.items() if not models or k in models
+    }
     metric, more = LEADING_METRIC[task]
     for name, space in tuning.items():
         if name in candidates:
@@ -430,27 +437,56 @@ def _auto_supervised(df, target, features, task, models, folds, row_key, tuning,
         fitted[name] = FittedModel(
             name, PipelineModel([*prep.stages, model]), features, target, values
         )
-    for frame in (ready, held, parts):
+    for frame in (ready, held):
         frame.unpersist()
     board, best = _ranked(df.sparkSession, rows, more, metric)
     return AutoResult(task, board, best, fitted)
 
 
-def _auto_clusters(df, features, models, seed):
-    fits = {"kmeans": cluster.fit_kmeans, "mixture": cluster.fit_mixture}
-    labels = {"kmeans": cluster.kmeans_labels, "mixture": cluster.mixture_labels}
+class DensityCandidate:
+    """Density clusters of standardised columns; noise is a cluster of its own (-1)."""
+
+    def __init__(self, df: DataFrame, features: Sequence[str], eps: float = 0.5, min_points: int = 5):
+        self.features, self.eps, self.min_points = list(features), eps, min_points
+        cells = [f(number(df, c)) for c in features for f in (F.avg, F.stddev_pop)]
+        row = df.agg(*[c.alias(f"s{i}") for i, c in enumerate(cells)]).first()
+        self.means = [row[2 * i] for i in range(len(features))]
+        self.scales = [row[2 * i + 1] or 1.0 for i in range(len(features))]
+
+    def label(self, df: DataFrame) -> DataFrame:
+        """The rows without nulls in the features, with `cluster`."""
+        names = [f"__z{i}" for i in range(len(self.features))]
+        scaled = [
+            ((number(df, c) - F.lit(m)) / F.lit(s)).alias(n)
+            for c, n, m, s in zip(self.features, names, self.means, self.scales)
+        ]
+        found = dbscan(df.select("*", *scaled), names, self.eps, self.min_points)
+        return found.where("cluster is not null").drop("core", *names)
+
+
+def _auto_clusters(df, features, models, settings, seed):
+    """K-means, a mixture and density clusters by silhouette, noise counted as one cluster."""
+    data = df.select(*[quoted(c) for c in features])
+
+    def mllib(fit, label):
+        model = fit(data, features, seed=seed, **settings.get(name, {}))
+        return lambda d: label(model, d, features)
+
+    makers = {
+        "kmeans": lambda: mllib(cluster.fit_kmeans, cluster.kmeans_labels),
+        "mixture": lambda: mllib(cluster.fit_mixture, cluster.mixture_labels),
+        "dbscan": lambda: DensityCandidate(data, features, **settings.get("dbscan", {})).label,
+    }
     rows, found = [], {}
-    for name, fit in fits.items():
+    for name, make in makers.items():
         if models and name not in models:
             continue
         start = time.perf_counter()
-        model = fit(df.select(*features), features, seed=seed)
-        out = labels[name](model, df.select(*features), features)
-        value = clustering_metrics(
-            out, [c for c in features], "cluster"
-        ).first()["silhouette"]
+        found[name] = make()
+        out = cut_lineage(found[name](data).select(*[quoted(c) for c in features], "cluster"))
+        # one cluster for all rows has no silhouette and ranks last
+        value = clustering_metrics(out, features, "cluster").first()["silhouette"]
         rows.append((name, "silhouette", value, None, value, None, time.perf_counter() - start))
-        found[name] = lambda d, m=model, n=name: labels[n](m, d, features)
     board, best = _ranked(df.sparkSession, rows, True, "silhouette")
     return AutoResult("clustering", board, best, found)
 

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from tabulant.core.columns import number, numeric_columns
 from tabulant.core.gram import Moments, least_squares, moments, moments_by
-from tabulant.core.lineage import cut_lineage
 from tabulant.core.logistic import logistic_accuracies
 from tabulant.core.shuffle import row_hash
 from tabulant.operators.causal import causal_priorities
+from tabulant.operators.front import pareto_front
 from tabulant.operators.profile import target_type
 from tabulant.operators.select import mutual_information, recursive_elimination, top_scores
 from tabulant.operators.stats import (
@@ -279,77 +279,6 @@ def _neighbours(subset: tuple, features: Sequence[str]) -> list[tuple]:
     return [tuple(sorted(chosen ^ {f})) for f in features]
 
 
-def pareto_front(
-    df: DataFrame,
-    maximise: Sequence[str] = ("significance", "effect_size", "coverage"),
-    minimise: Sequence[str] = ("parsimony",),
-    batch: int = 2_000,
-) -> DataFrame:
-    """Rows that no other row dominates.
-
-    A dominating row is also ahead in lexicographic order, so the first rows of that
-    order are settled among themselves, everything they dominate is dropped, and the
-    next batch is taken from what is left. Each task first reduces its own rows to
-    their front. Only `batch` score vectors are on the driver at a time, and no pairs
-    of rows are formed by a join.
-    """
-    signs = [*[(c, 1.0) for c in maximise], *[(c, -1.0) for c in minimise]]
-    names = [f"__o{i}" for i in range(len(signs))]
-    objectives = [
-        (F.coalesce(F.col(c).cast("double"), F.lit(float("-inf") * s)) * s + F.lit(0.0)).alias(n)
-        for (c, s), n in zip(signs, names)
-    ]
-    marked = df.select("*", *objectives)
-
-    def local_front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = np.zeros((0, len(names)))
-        for pdf in batches:
-            points = np.unique(np.concatenate([kept, pdf[names].to_numpy()]), axis=0)[::-1]
-            kept = _settled(points)
-        if len(kept):
-            yield pd.DataFrame(kept, columns=names)
-
-    schema = ", ".join(f"{n} double" for n in names)
-    left = marked.select(*names).distinct().mapInPandas(local_front, schema)
-    front = None
-    spark = df.sparkSession
-    while True:
-        rows = left.orderBy(*[F.desc(n) for n in names]).limit(batch).collect()
-        if not rows:
-            break
-        best = _settled(np.array([list(r) for r in rows]))
-        part = spark.createDataFrame(pd.DataFrame(best, columns=names), schema)
-        front = part if front is None else front.unionByName(part)
-        if len(rows) < batch:
-            break
-        left = cut_lineage(left.mapInPandas(_not_beaten(best, names), schema))
-    if front is None:
-        return df.limit(0)
-    return marked.join(F.broadcast(front), names, "left_semi").drop(*names)
-
-
-def _settled(points: np.ndarray) -> np.ndarray:
-    """Front of distinct points given in descending lexicographic order."""
-    front: list[np.ndarray] = []
-    kept = np.zeros((0, points.shape[1]))
-    for p in points:
-        if not (kept >= p).all(axis=1).any():
-            front.append(p)
-            kept = np.array(front)
-    return kept
-
-
-def _not_beaten(best: np.ndarray, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[names].to_numpy()
-            # equal points are already in the front
-            ok = np.array([not (best >= p).all(axis=1).any() for p in x], dtype=bool)
-            yield pdf[ok]
-
-    return run
-
-
 def local_search(
     df: DataFrame,
     scored: DataFrame,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulant.operators import search
+from tabulant.operators import front, search
 from tabulant.plans.registry import query, rounded, table
 
 COLUMNS = ["l_quantity", "l_discount", "l_tax", "net", "line"]
@@ -116,7 +116,7 @@ def q_front(spark, sf):
             F.count(F.lit(1)).alias("n"),
         )
     )
-    return rounded(search.pareto_front(groups, ["q", "d", "t"], ["n"]), 6)
+    return rounded(front.pareto_front(groups, ["q", "d", "t"], ["n"]), 6)
 
 
 @query("local_search")

@@ -6,7 +6,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tabulant.operators import cluster, evaluate, models, search, tuning
+from tabulant.core.components import connected_components
+from tabulant.operators import cluster, density, evaluate, models, search, tuning
 
 
 def brute_dbscan(p, eps, m):
@@ -27,31 +28,57 @@ def brute_dbscan(p, eps, m):
     return core, label, border
 
 
-@pytest.mark.parametrize("limit", [10_000, 4])
-def test_dbscan_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(cluster, "PAIR_LIMIT", limit)
+def same_clusters(got, core, label, border):
+    got = got.sort_values("i")
+    assert (got["core"].to_numpy() == core).all()
+    mine = got["cluster"].to_numpy()
+    pairs = {(a, b) for a, b, c in zip(label, mine, core) if c}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert ((mine == -1) == (~core & ~border)).all()
+    return mine
+
+
+@pytest.mark.parametrize("cell", [512, 6])
+def test_dbscan_against_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(density, "CELL_POINTS", cell)
     rng = np.random.default_rng(2)
     blobs = [rng.normal(c, 0.35, size=(60, 2)) for c in ((0, 0), (3, 0), (0, 4))]
     line = np.column_stack([np.linspace(6, 9, 40), np.full(40, 2.0)])
     copies = np.tile([[20.0, 20.0]], (200, 1))
     p = np.concatenate([*blobs, line, copies, rng.uniform(-3, 10, size=(30, 2))])
     core, label, border = brute_dbscan(p, 0.5, 5)
-    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "i long, x double, y double")
-    got = cluster.dbscan(df, ["x", "y"], 0.5, 5).toPandas().sort_values("i")
-    assert (got["core"].to_numpy() == core).all()
-    mine = got["cluster"].to_numpy()
-    pairs = {(a, b) for a, b, c in zip(label, mine, core) if c}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-    assert ((mine == -1) == (~core & ~border)).all()
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(p)]
+    df = spark.createDataFrame([*rows, (999, None, 1.0)], "i long, x double, y double")
+    got = density.dbscan(df, ["x", "y"], 0.5, 5).toPandas()
+    assert got[got["i"] == 999][["core", "cluster"]].isna().all(axis=None)
+    same_clusters(got[got["i"] != 999], core, label, border)
+
+
+def test_dbscan_of_wide_points_with_a_hot_region(spark, monkeypatch):
+    monkeypatch.setattr(density, "CELL_POINTS", 40)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 64)) * 2
+    hot = centres[0] + rng.normal(size=(500, 64)) * 0.03
+    near = hot[:80] + rng.normal(size=(80, 64)) * 0.12
+    rest = centres[rng.integers(1, 6, 300)] + rng.normal(size=(300, 64)) * 0.18
+    p = np.concatenate([hot, near, rest, rng.normal(size=(60, 64)) * 2])
+    core, label, border = brute_dbscan(p, 1.6, 8)
+    assert 0 < core.sum() < len(p) and border.any()
+    names = [f"v{i}" for i in range(64)]
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(p)], ["i", *names])
+    got = density.dbscan(df, names, 1.6, 8).toPandas()
+    mine = same_clusters(got, core, label, border)
+    # a border point joins the smallest cluster in reach
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) <= 1.6
+    for i in np.flatnonzero(border):
+        assert mine[i] == min(mine[j] for j in np.flatnonzero(d[i] & core))
 
 
 def test_long_chain_components(spark):
-    nodes = spark.range(64).select(F.array("id").alias("node"))
-    edges = spark.range(63).select(F.array("id").alias("a"), F.array(F.col("id") + 1).alias("b"))
-    edges = edges.where(F.col("a")[0] != 40)
-    for limit in (0, 1_000):
-        labels = cluster.connected_components(nodes, edges, limit).collect()
-        assert len(labels) == 64 and {r["label"][0] for r in labels} == {0, 41}
+    nodes = spark.range(64).select(F.col("id").alias("node"))
+    edges = spark.range(63).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a != 40")
+    labels = connected_components(nodes, edges).collect()
+    assert len(labels) == 64 and {r["label"] for r in labels} == {0, 41}
 
 
 def test_agreement_of_labelings(spark):
@@ -107,7 +134,7 @@ def test_automl_on_a_hypothesis(spark):
         "id", (F.col("id") % 13).cast("double").alias("a"), F.rand(1).alias("noise")
     ).withColumn("y", F.col("a") * 3 + F.col("noise"))
     out = models.automl(
-        df, "y", ["a"], row_key="id", folds=2, small=True, models=["linear", "forest"]
+        df, "y", ["a"], row_key="id", folds=2, models=["linear", "forest"], settings={"forest": {"numTrees": 10}}
     )
     assert out.task == "regression" and out.best_name in ("linear", "forest")
     assert out.leaderboard.orderBy("rank").first()["cv_mean"] > 0.9
@@ -185,3 +212,38 @@ def test_vote_without_agreement(spark):
     )
     picked = {r["feature"]: r["selected"] for r in search.ensemble_vote(lists).collect()}
     assert picked == {"a": True, "b": False}
+
+
+def test_holdout_keeps_rare_classes(spark):
+    df = spark.range(1010).select("id", F.when(F.col("id") < 10, "rare").otherwise("common").alias("y"))
+    out = evaluate.holdout(df, "y", "id", folds=5).cache()
+    count = {(r.y, r.test): r["count"] for r in out.groupBy("y", "test").count().collect()}
+    assert count == {("rare", True): 2, ("rare", False): 8, ("common", True): 200, ("common", False): 800}
+    folds = out.where("not test").groupBy("y", "fold").count().collect()
+    assert {r["count"] for r in folds if r.y == "common"} == {160}
+    assert {r["count"] for r in folds if r.y == "rare"} == {1, 2} and len(folds) == 10
+    assert out.where("test and fold is not null").isEmpty()
+    assert evaluate.holdout(df, share=0.3).where("test").count() == 303
+
+
+def test_automl_of_a_rare_class(spark):
+    df = spark.range(400).select(
+        "id",
+        F.when(F.col("id") < 10, 9.0).otherwise(F.col("id") % 7).alias("a"),
+        F.when(F.col("id") < 10, "rare").otherwise("common").alias("y"),
+    )
+    out = models.automl(df, "y", ["a"], row_key="id", folds=2, models=["logistic", "forest"], settings={"forest": {"numTrees": 5}})
+    best = out.leaderboard.orderBy("rank").first()
+    assert out.task == "classification" and best["cv_mean"] == best["test_value"] == 1.0
+
+
+def test_automl_compares_three_clusterers(spark):
+    rng = np.random.default_rng(3)
+    t = rng.uniform(0, 2 * np.pi, 300)
+    rows = [(float(np.cos(a) * r), float(np.sin(a) * r)) for a, r in zip(t, np.repeat([1.0, 1.02, 0.0], 100))]
+    df = spark.createDataFrame([*rows, (None, 1.0)], "x double, y double")
+    out = models.automl(df, settings={"dbscan": {"eps": 0.3}})
+    board = {r["model"]: r["cv_mean"] for r in out.leaderboard.collect()}
+    assert set(board) == {"kmeans", "mixture", "dbscan"}
+    found = out.models["dbscan"](df)
+    assert found.count() == 300 and found.select("cluster").distinct().count() == 2

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulant.core.lookup import attach, sorted_codes, value_counts
 from tabulant.core.ordered import exact_quantiles, positions, value_ranks
-from tabulant.operators import search, series
+from tabulant.operators import front, search, series
 
 
 def skewed(spark, n=3000):
@@ -121,16 +121,32 @@ def test_smoothing_forecast_against_a_plain_loop(spark):
         assert got[(s, 3)]["forecast"] == pytest.approx(best[1] + 3 * best[2], rel=1e-6)
 
 
-def test_front_in_small_batches(spark):
+@pytest.mark.parametrize("cell", [5, 2_048])
+def test_front_of_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(front, "CELL_POINTS", cell)
     rng = np.random.default_rng(5)
     p = np.round(rng.random((400, 3)), 2)
-    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "i long, a double, b double, c double")
-    ge = (p[:, None, :] >= p[None, :, :]).all(axis=2)
-    gt = (p[:, None, :] > p[None, :, :]).any(axis=2)
-    want = sorted(np.where(~(ge & gt).any(axis=0))[0].tolist())
-    for batch in (3, 10_000):
-        got = search.pareto_front(df, ["a", "b", "c"], [], batch=batch)
-        assert sorted(r["i"] for r in got.collect()) == want
+    p[:40] = [0.9, 0.9, 0.2]  # equal rows
+    p[40:140, 0] = 0.5
+    p[140:200] = np.round(np.linspace(0, 0.8, 60), 2)[:, None]
+    p[300:] /= p[300:].sum(axis=1, keepdims=True) / 1.6  # a slope that is nearly all front
+    rows = [(i, *map(float, r)) for i, r in enumerate(p)]
+    rows += [(900, None, 0.99, 1.0), (901, float("nan"), 0.999, 1.0), (902, None, None, None)]
+    q = np.array([[-np.inf if v is None or v != v else v for v in r[1:]] for r in rows])
+    ge = (q[:, None, :] >= q[None, :, :]).all(axis=2)
+    gt = (q[:, None, :] > q[None, :, :]).any(axis=2)
+    want = sorted(rows[i][0] for i in np.where(~(ge & gt).any(axis=0))[0])
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double")
+    got = front.pareto_front(df, ["a", "b", "c"], [])
+    assert sorted(r["i"] for r in got.collect()) == want and got.columns == ["i", "a", "b", "c"]
+    down = df.select("i", *[(-F.col(c)).alias(c) for c in "abc"])
+    assert sorted(r["i"] for r in front.pareto_front(down, ["b"], ["a", "c"]).collect()) == sorted(
+        r["i"] for r in front.pareto_front(df.withColumn("b", -F.col("b")), ["a", "b", "c"], []).collect()
+    )
+    assert front.pareto_front(df.limit(0), ["a"], []).isEmpty()
+    assert [r["i"] for r in front.pareto_front(df, ["a"], []).orderBy("i").collect()] == [
+        r[0] for r, v in zip(rows, q) if v[0] == q[:, 0].max()
+    ]
 
 
 def _exchanges(df):
