@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabulant.core.columns import few_values, melt_numbers, number, present, quoted
 from tabulant.core.gram import LeastSquares, least_squares, moments
+from tabulant.core.lineage import cut_lineage
 from tabulant.core.logistic import logistic_accuracies
 from tabulant.core.ordered import value_ranks
 from tabulant.functions.special import chi2_p, f_p, f_tail, t_p, t_two_sided
@@ -156,43 +157,91 @@ def kruskal_wallis(df: DataFrame, features: Sequence[str], group: str) -> DataFr
     return _result(out, "kruskal_wallis", F.col("h"), F.col("d"), F.lit(None), p, n)
 
 
+def hypergeometric(rng, good: np.ndarray, bad: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How many of `wanted` drawn items are good; all three are arrays.
+
+    Beyond the generator's range the draw is normal, which is then exact to many digits.
+    """
+    good, bad, wanted = np.broadcast_arrays(good, bad, wanted)
+    left = good + bad
+    share = good / np.maximum(left, 1)
+    sd = np.sqrt(wanted * share * (1 - share) * np.maximum(left - wanted, 0) / np.maximum(left - 1, 1))
+    normal = np.round(rng.normal(wanted * share, sd))
+    far = left >= 1_000_000_000
+    near = rng.hypergeometric(np.where(far, 0, good), np.where(far, 0, bad), np.where(far, 0, wanted))
+    low, high = np.maximum(0, wanted - bad), np.minimum(good, wanted)
+    return np.where(far, np.clip(normal, low, high), near).astype(np.int64)
+
+
 def hypergeometric_counts(rng, sizes: np.ndarray, wanted: int) -> np.ndarray:
     """How a random choice of `wanted` items spreads over groups of the given sizes."""
+    if sizes.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(sizes, int(wanted), method="marginals")
     out = np.zeros(len(sizes), dtype=np.int64)
     left, need = int(sizes.sum()), int(wanted)
     for i, size in enumerate(sizes):
-        size = int(size)
-        other = left - size
-        if need <= 0:
-            break
-        if other <= 0:
-            got = min(size, need)
-        elif left < 1_000_000_000:
-            got = int(rng.hypergeometric(size, other, need))
-        else:
-            # beyond the generator's range the draw is normal to many digits
-            share = size / left
-            sd = np.sqrt(need * share * (1 - share) * (left - need) / max(left - 1, 1))
-            got = int(np.clip(round(rng.normal(need * share, sd)), max(0, need - other), min(size, need)))
-        out[i] = got
-        left, need = other, need - got
+        left -= int(size)
+        out[i] = hypergeometric(rng, np.int64(size), np.int64(left), np.int64(need))
+        need -= int(out[i])
     return out
 
 
+def _slice_quota(path: pd.DataFrame, wanted: int, permutations: int, seed: int) -> np.ndarray:
+    """Labels of the first class that fall into a slice, for each permutation.
+
+    From the root of the tree of slices down, each node deals its labels to its halves with
+    a generator of its own, so every slice below a node draws the same numbers there.
+    """
+    need = np.full(permutations, wanted, np.int64)
+    for level, node, own, other in path.sort_values("level")[["level", "node", "own", "other"]].itertuples(index=False):
+        rng = np.random.default_rng([seed, int(level), int(node) >> 1])
+        left, right = (own, other) if node % 2 == 0 else (other, own)
+        taken = hypergeometric(rng, np.int64(left), np.int64(right), need)
+        need = taken if node % 2 == 0 else need - taken
+    return need
+
+
+def _slice_sums(wanted: int, permutations: int, seed: int):
+    """Rank sums of the first class within a slice, for each permutation."""
+
+    def run(rows: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        # the order of rows in a group is not fixed, the draw must not depend on it
+        rows = rows.sort_values("mid")
+        mids, ties = rows["mid"].to_numpy(), rows["t"].to_numpy()
+        need = _slice_quota(path, wanted, permutations, seed)
+        rng = np.random.default_rng([seed, 1 << 20, int(path["slice"].iloc[0])])
+        out, total = np.zeros(permutations), float(ties @ mids)
+        few = ties.sum() > 20 * len(ties)
+        each = None if few else np.repeat(mids, ties)
+        for b, m in enumerate(need):
+            if few:
+                out[b] = float(hypergeometric_counts(rng, ties, int(m)) @ mids)
+            elif m <= len(each) - m:
+                out[b] = rng.choice(each, int(m), replace=False, shuffle=False).sum()
+            else:
+                out[b] = total - rng.choice(each, len(each) - int(m), replace=False, shuffle=False).sum()
+        return pd.DataFrame({"b": np.arange(permutations), "s": out})
+
+    return run
+
+
 def permutation_test(
     df: DataFrame,
     feature: str,
     group: str,
     n_permutations: int = 1000,
     seed: int = 42,
-    block_values: int = 200_000,
+    parts: int | None = None,
 ) -> DataFrame:
     """Shares of random relabelings whose U is at or above the observed U.
 
-    Rows are first reduced to distinct values with mid-ranks. Relabeling draws how
-    many first-class labels fall into each block of values, then into each value, so
-    the rows are never copied per permutation. p_value is the one-sided share,
-    p_two_sided counts U at least as far from its mean.
+    Rows are first reduced to distinct values with mid-ranks, cut into slices. A binary tree
+    over the slices knows how many rows lie below each node; every task draws its way from
+    the root to its slice and so learns how many labels of the first class fall there, for
+    all relabelings. Rows are never copied per permutation, and the driver sees a result
+    per relabeling at most. p_value is the one-sided share, p_two_sided counts U at least as
+    far from its mean; u_mean and u_sd are those of the relabelings, expected_mean and
+    expected_sd what they tend to.
     """
     from tabulant.core.ordered import quantile_edges, slice_count, with_slices
 
@@ -201,74 +250,58 @@ def permutation_test(
     ).dropna()
     observed = mann_whitney(df, [feature], group).first()
     first = base.agg(F.min("class")).first()[0]
-    parts = slice_count(df)
+    parts = parts or slice_count(df)
     sliced = with_slices(base, ["v"], quantile_edges(base, ["v"], parts), ["slice"])
-    values = sliced.groupBy("slice", "v").agg(
-        F.count(F.lit(1)).alias("t"), F.count_if(F.col("class") == first).alias("a")
+    values = cut_lineage(
+        sliced.groupBy(F.col("slice").cast("long").alias("slice"), "v").agg(
+            F.count(F.lit(1)).alias("t"), F.count_if(F.col("class") == first).alias("a")
+        )
     )
     upto = Window.partitionBy("slice").orderBy("v")
-    local = values.withColumn("upto", F.sum("t").over(upto)).withColumn(
-        "place", F.row_number().over(upto)
-    )
-    sizes = values.groupBy("slice").agg(F.sum("t").alias("rows"))
+    sizes = cut_lineage(values.groupBy("slice").agg(F.sum("t").alias("rows")))
     before = Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = sizes.select("slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("off"))
-    ranked = local.join(F.broadcast(offsets), "slice").select(
-        "slice",
-        F.floor((F.col("place") - 1) / block_values).alias("block"),
-        "t",
-        "a",
-        (F.col("off") + F.col("upto") - (F.col("t") - 1) / 2).alias("mid"),
-    )
-    blocks = sorted(
-        ranked.groupBy("slice", "block").agg(F.sum("t").alias("t"), F.sum("a").alias("a")).collect()
+    ranked = (
+        values.withColumn("upto", F.sum("t").over(upto))
+        .join(offsets, "slice")
+        .select("slice", "t", (F.col("off") + F.col("upto") - (F.col("t") - 1) / 2).alias("mid"))
     )
-    n1 = sum(b["a"] for b in blocks)
-    n2 = sum(b["t"] for b in blocks) - n1
-    rng = np.random.default_rng(seed)
-    block_sizes = np.array([b["t"] for b in blocks])
-    draws = np.stack(
-        [hypergeometric_counts(rng, block_sizes, n1) for _ in range(n_permutations)]
+    totals = values.agg(
+        F.sum("a").alias("n1"), F.sum("t").alias("n"), F.sum(F.expr("double(t) * t * t - t")).alias("ties")
+    ).first()
+    n1, n, ties = totals["n1"] or 0, totals["n"] or 0, totals["ties"] or 0.0
+    n2 = n - n1
+    # the way from the root to each slice, with the rows on both sides of each step
+    depth = max(1, (max(parts, 1) - 1).bit_length())
+    steps = sizes.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(depth)))).withColumn(
+        "node", F.floor(F.col("slice") / F.pow(F.lit(2.0), F.lit(depth) - F.col("level"))).cast("long")
     )
-    quota = {(b["slice"], b["block"]): draws[:, i] for i, b in enumerate(blocks)}
-    spark = df.sparkSession
-    quotas = spark.createDataFrame(
-        [(s, b, [int(x) for x in q]) for (s, b), q in quota.items()],
-        "slice double, block long, quota array<long>",
-    )
-
-    def block_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        # the order of rows in a group is not fixed, the draw must not depend on it
-        pdf = pdf.sort_values("mid")
-        gen = np.random.default_rng([seed, int(key[0]), int(key[1])])
-        mids, ties = pdf["mid"].to_numpy(), pdf["t"].to_numpy()
-        wanted = pdf["quota"].iloc[0]
-        single = bool((ties == 1).all())
-        out = np.zeros(len(wanted))
-        for b, m in enumerate(wanted):
-            if single:
-                out[b] = mids[gen.permutation(len(mids))[: int(m)]].sum()
-            else:
-                out[b] = float(hypergeometric_counts(gen, ties, int(m)) @ mids)
-        return pd.DataFrame({"b": np.arange(len(wanted)), "s": out})
-
-    quota_join = ranked.join(F.broadcast(quotas), ["slice", "block"])
+    nodes = cut_lineage(steps.groupBy("level", "node").agg(F.sum("rows").alias("own")))
+    sides = nodes.join(
+        nodes.select("level", F.col("node").bitwiseXOR(F.lit(1)).alias("node"), F.col("own").alias("other")),
+        ["level", "node"],
+        "left",
+    ).fillna(0, ["other"])
+    path = steps.select("slice", "level", "node").join(sides, ["level", "node"])
     sums = (
-        quota_join.groupBy("slice", "block")
-        .applyInPandas(block_sums, "b int, s double")
+        ranked.groupBy("slice")
+        .cogroup(path.groupBy("slice"))
+        .applyInPandas(_slice_sums(n1, n_permutations, seed), "b int, s double")
         .groupBy("b")
         .agg(F.sum("s").alias("s"))
     )
-    shift = n1 * (n1 + 1) / 2
     mean = n1 * n2 / 2
-    u = F.col("s") - F.lit(shift)
+    spread = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1))) if n > 1 else 0.0
+    u = F.col("s") - F.lit(n1 * (n1 + 1) / 2)
     seen = float(observed["statistic"])
     return sums.agg(
         F.avg((u >= seen).cast("double")).alias("p_greater"),
         F.avg((F.abs(u - mean) >= abs(seen - mean)).cast("double")).alias("p_two_sided"),
         F.count(F.lit(1)).alias("n_permutations"),
+        F.avg(u).alias("u_mean"),
+        F.stddev_pop(u).alias("u_sd"),
     ).select(
         F.lit("permutation").alias("test"),
         F.lit(feature).alias("feature"),
@@ -276,10 +309,14 @@ def permutation_test(
         F.lit(None).cast("double").alias("df1"),
         F.lit(None).cast("double").alias("df2"),
         F.col("p_greater").alias("p_value"),
-        F.lit(n1 + n2).cast("long").alias("n"),
+        F.lit(n).cast("long").alias("n"),
         "p_greater",
         "p_two_sided",
         "n_permutations",
+        "u_mean",
+        "u_sd",
+        F.lit(float(mean)).alias("expected_mean"),
+        F.lit(float(spread) ** 0.5).alias("expected_sd"),
     )
 
 

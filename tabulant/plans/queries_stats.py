@@ -8,6 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tabulant.core.gram import complete_rows, gram_matrix
+from tabulant.functions.special import normal_cdf
 from tabulant.operators import causal, regression, select, stats
 from tabulant.plans.registry import query, rounded, table
 
@@ -102,9 +103,34 @@ def q_kruskal(spark, sf):
     )
 
 
-@query("permutation_test")
+@query(
+    "permutation_test",
+    """WITH r AS (SELECT l_linestatus AS g, avg(pos) OVER (PARTITION BY l_quantity) AS mid,
+        count(*) OVER (PARTITION BY l_quantity)::DOUBLE AS t
+      FROM (SELECT l_linestatus, l_quantity, row_number() OVER (ORDER BY l_quantity) AS pos FROM lineitem)),
+    s AS (SELECT count(*)::DOUBLE AS n, sum(CASE WHEN g = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS n1,
+        sum(CASE WHEN g = 'F' THEN mid ELSE 0 END) AS ranks, sum(t * t - 1) AS ties FROM r)
+    SELECT 'permutation' AS test, 'l_quantity' AS feature, round(ranks - n1 * (n1 + 1) / 2, 3) AS statistic,
+      n::BIGINT AS n, 1000::BIGINT AS n_permutations, round(n1 * (n - n1) / 2, 3) AS expected_mean,
+      round(sqrt(n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1)))), 3) AS expected_sd,
+      true AS mean_fits, true AS sd_fits, true AS p_fits FROM s""",
+)
 def q_permutation(spark, sf):
-    return stats.permutation_test(lineitem(spark, sf), "l_quantity", "l_linestatus", 200)
+    """Mean and spread of U over the relabelings fit the closed form, p the normal tail."""
+    out = stats.permutation_test(lineitem(spark, sf), "l_quantity", "l_linestatus")
+    z = (F.col("statistic") - F.col("expected_mean")) / F.col("expected_sd")
+    return out.select(
+        "test",
+        "feature",
+        F.round("statistic", 3).alias("statistic"),
+        "n",
+        "n_permutations",
+        F.round("expected_mean", 3).alias("expected_mean"),
+        F.round("expected_sd", 3).alias("expected_sd"),
+        (F.abs(F.col("u_mean") - F.col("expected_mean")) < F.col("expected_sd") * 5 / F.sqrt("n_permutations")).alias("mean_fits"),
+        (F.abs(F.col("u_sd") / F.col("expected_sd") - 1) < 0.12).alias("sd_fits"),
+        (F.abs(F.col("p_greater") - (F.lit(1.0) - normal_cdf(z))) < 0.08).alias("p_fits"),
+    )
 
 
 @query(

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,10 +69,39 @@ def test_permutation_test_agrees_with_brute_force(spark):
     assert got["p_greater"] == pytest.approx(np.mean(np.array(draws) >= u(a, b)), abs=0.04)
     again = stats.permutation_test(df, "x", "g", 2000).first()
     assert again == got
-    split = stats.permutation_test(df, "x", "g", 2000, block_values=2).first()
+    split = stats.permutation_test(df, "x", "g", 2000, parts=6).first()
     assert split["p_greater"] == pytest.approx(got["p_greater"], abs=0.04)
 
 
+def test_relabelings_have_the_moments_of_u(spark):
+    """Many slices, a value in a third of the rows; a draw per node is the same in all tasks."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(3)).alias("x"), (F.col("id") % 5 == 0).alias("g")
+    )
+    for parts in (2, 13):
+        r = stats.permutation_test(df, "x", "g", 1000, parts=parts).first()
+        assert r["n"] == 30_000 and r["n_permutations"] == 1000
+        assert abs(r["u_mean"] - r["expected_mean"]) < 5 * r["expected_sd"] / 1000**0.5
+        assert r["u_sd"] == pytest.approx(r["expected_sd"], rel=0.12)
+
+
+def test_labels_of_slices_add_up():
+    sizes = np.array([5, 0, 40, 1, 300, 7, 20])
+    wanted, depth, quota = 111, 3, []
+    for s in range(len(sizes)):
+        rows = []
+        for level in range(1, depth + 1):
+            width = 1 << (depth - level)
+            node = s // width
+            total = lambda n: int(sizes[n * width : (n + 1) * width].sum())  # noqa: B023, E731
+            rows.append((s, level, node, total(node), total(node ^ 1)))
+        path = pd.DataFrame(rows, columns=["slice", "level", "node", "own", "other"])
+        quota.append(stats._slice_quota(path, wanted, 500, 9))
+    quota = np.array(quota)
+    assert (quota.sum(axis=0) == wanted).all() and (quota <= sizes[:, None]).all() and (quota >= 0).all()
+    assert quota.mean(axis=1) == pytest.approx(sizes * wanted / sizes.sum(), abs=1.5)
+
+
 def planted(spark, n=400):
     rng = np.random.default_rng(42)
     x = rng.normal(size=(n, 4))
