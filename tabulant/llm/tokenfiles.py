@@ -23,16 +23,18 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulant.llm.bpe import PRE
+from tabulant.llm.bpe import PRE, byte_characters
 from tabulant.llm.common import mix, texts, written
 
 SHARD = "<8sIIIIIQ"  # magic, part, piece, bytes an id, documents, nulls, ids
@@ -43,8 +45,14 @@ BUCKET_MAGIC = b"MPHIDX01"
 SHARD_IDS = 4 << 20
 #: Text that a task sorts and encodes.
 PART_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 200_000
-KNOWN = 300_000
+#: Words and pre-tokens in a table before it is the old one.
+WORDS = 200_000
+PIECES = 200_000
+MARKS = frozenset(".,;:!?")
+#: A space after other white space may share a pre-token with it.
+LATE_SPACE = regex.compile(r"\s ")
 SPARE = 2.0
 CHUNK = 4096
 
@@ -170,53 +178,128 @@ class TokenShard:
 
 
 class Encoder:
-    """The tokenizer of the library; each pre-token goes through it once as long as it is known."""
+    """The library's tokenizer; what it made of words and pre-tokens is kept for the next ones.
+
+    A text is cut before its spaces, which is also where pre-tokens begin, unless a space
+    follows other white space. Words not met before are cut into pre-tokens, and those not
+    met before go through the merge list of the library.
+    """
 
     def __init__(self, shared: dict):
         from tokenizers import Tokenizer
 
         if "tokenizer" not in shared:
-            tokenizer = Tokenizer.from_str(shared["source"])
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            shared["tokenizer"], shared["known"] = tokenizer, {}
-        self.tokenizer, self.known = shared["tokenizer"], shared["known"]
+            shared["tokenizer"] = Tokenizer.from_str(shared["source"])
+            shared["known"] = {}, {}, {}, {}
+        self.tokenizer, self.shared = shared["tokenizer"], shared
+        self.words, self.old_words, self.pieces, self.old_pieces = shared["known"]
+        self.tokenize = self.tokenizer.model.tokenize
+        shown = {b: c for c, b in byte_characters().items()}
+        self.shown = [shown[b] for b in range(256)]
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = {name: np.uint32(i).tobytes() for name, i in added.items()}
+        self.added = {name: array("I", [i]).tobytes() for name, i in added.items()}
         names = sorted(map(regex.escape, added), key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(names) + ")") if names else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def plain(self, text: str) -> bytes:
-        known = self.known
-        pieces = PRE.findall(text)
-        new = list(set(pieces).difference(known))
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = list(set(pieces))
-        for start in range(0, len(new), CHUNK):
-            part = new[start : start + CHUNK]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(e.ids, np.uint32).tobytes()
-        out = b"".join(map(known.__getitem__, pieces))
-        for piece in new:
-            if len(piece) > 64:
-                del known[piece]
-        return out
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        known = self.pieces.get(piece)
+        if known is None:
+            known = self.old_pieces.get(piece)
+        if known is None:
+            if piece.isascii() and piece.isprintable():
+                spelled = piece.replace(" ", self.shown[32])
+            else:
+                spelled = "".join(map(self.shown.__getitem__, piece.encode()))
+            known = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+            if len(piece) <= 64:
+                self.pieces[piece] = known
+        return known
+
+    def age(self) -> None:
+        """Full tables become the old ones, from which what comes again is taken over."""
+        if len(self.words) > WORDS:
+            self.words, self.old_words = {}, self.words
+        if len(self.pieces) > PIECES:
+            self.pieces, self.old_pieces = {}, self.pieces
+        self.shared["known"] = self.words, self.old_words, self.pieces, self.old_pieces
+
+    def cut_up(self, text: str) -> bytes:
+        return b"".join(map(self.piece, PRE.findall(text)))
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word with the space before it. Letters alone, or with one mark, need no search."""
+        if word.isalpha():
+            return self.piece(" " + word)
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return self.piece(" " + word[:-1]) + self.piece(word[-1])
+        return self.cut_up(" " + word)
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of one text."""
         parts = self.cut.split(text) if self.cut else [text]
-        out = [self.plain(t) if i % 2 == 0 else self.added[t] for i, t in enumerate(parts)]
+        out = [self.cut_up(t) if i % 2 == 0 else self.added[t] for i, t in enumerate(parts)]
         return np.frombuffer(b"".join(out), np.uint32)
 
+    def encode_all(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array, each of its different words looked at once."""
+        texts_ = column.to_pylist()
+        odd = [
+            i for i, t in enumerate(texts_)
+            if LATE_SPACE.search(t) or any(name in t for name in self.added)
+        ]
+        plain = np.ones(len(texts_), bool)
+        plain[odd] = False
+        split = pc.split_pattern(column.filter(pa.array(plain)).cast(pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        of = coded.indices.to_numpy().astype(np.int64)
+        begins = np.diff(split.offsets.to_numpy()).cumsum()
+        begins = np.concatenate([[0], begins]).astype(np.int64)
+        known, old, table = self.words, self.old_words, []
+        for word in coded.dictionary.to_pylist():
+            ids = known.get(word)
+            if ids is None:
+                ids = old.get(word) or self.word(word)
+                if len(word) <= 64:
+                    known[word] = ids
+            table.append(ids)
+        # the first word of a text has no space before it
+        firsts = of[begins[:-1]]
+        of[begins[:-1]] = len(table) + np.arange(len(firsts))
+        words = coded.dictionary
+        table += [self.cut_up(w) for w in words.take(pa.array(firsts)).to_pylist()]
+        flat = np.frombuffer(b"".join(table), np.uint32)
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start = np.cumsum(size) - size
+        each = size[of]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(start[of] - ends[:-1], each) + np.arange(ends[-1])]
+        out = np.split(ids, ends[begins[1:-1]]) if len(begins) > 1 else []
+        self.age()
+        for i in odd:
+            out.insert(i, self.encode(texts_[i]))
+        return out
+
+
+def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple]:
+    """(key, ids) of each row, some MB of text at once."""
+    for batch in batches:
+        column = batch.column("text")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, "right")))
+            keys = batch.column("id").slice(at, to - at).to_pylist()
+            yield from zip(keys, encoder.encode_all(column.slice(at, to - at)))
+            at = to
+
 
 def shard_writer(shared, end_id: int):
     """Shards of a partition, as rows with the bytes of a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(shared.value)
         width = 2 if max(encoder.size - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], np.uint32)
@@ -227,15 +310,14 @@ def shard_writer(shared, end_id: int):
             blob = TokenShard.dump(part, piece, width, keys, rows)
             return pa.record_batch({"blob": pa.array([blob], pa.binary())})
 
-        for batch in batches:
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([encoder.encode(text.as_py()), end])
-                if rows and size + len(ids) > SHARD_IDS:
-                    yield row()
-                    keys, rows, size, piece = [], [], 0, piece + 1
-                keys.append(key)
-                rows.append(ids)
-                size += len(ids)
+        for key, found in encoded(batches, encoder):
+            ids = np.concatenate([found, end]).astype(f"<u{width}")
+            if rows and size + len(ids) > SHARD_IDS:
+                yield row()
+                keys, rows, size, piece = [], [], 0, piece + 1
+            keys.append(key)
+            rows.append(ids)
+            size += len(ids)
         if rows:
             yield row()
 
@@ -252,31 +334,36 @@ def file_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-DOCUMENTS = "shard long, row long, doc_id long, offset long, n_tokens long, ids binary"
+PLACES = "shard long, row long, doc_id long, offset long, n_tokens long"
 
 
-def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unfold(batches: Iterator[pa.RecordBatch], with_ids: bool = True) -> Iterator[pa.RecordBatch]:
     """A row per document of each shard; ids as little-endian unsigned 32-bit integers."""
     for batch in batches:
         for content in batch.column("content"):
-            shard = TokenShard(content.as_buffer().to_pybytes(), check=True)
+            shard = TokenShard(content.as_buffer(), check=True)
             starts = np.concatenate([[0], shard.ends[:-1]]).astype(np.int64)
             ends = shard.ends.astype(np.int64)
             total = len(ends)
             for a in range(0, total, CHUNK):
                 b = min(a + CHUNK, total)
                 at = np.arange(a, b)
-                ids = [shard.ids[i:j].astype("<u4").tobytes() for i, j in zip(starts[a:b], ends[a:b])]
-                yield pa.record_batch(
-                    {
-                        "shard": pa.array(np.full(b - a, shard.number)),
-                        "row": pa.array(at),
-                        "doc_id": pa.array(shard.keys[a:b], mask=at < shard.nulls),
-                        "offset": pa.array(starts[a:b]),
-                        "n_tokens": pa.array(ends[a:b] - starts[a:b]),
-                        "ids": pa.array(ids, pa.binary()),
-                    }
-                )
+                columns = {
+                    "shard": pa.array(np.full(b - a, shard.number)),
+                    "row": pa.array(at),
+                    "doc_id": pa.array(shard.keys[a:b], mask=at < shard.nulls),
+                    "offset": pa.array(starts[a:b]),
+                    "n_tokens": pa.array(ends[a:b] - starts[a:b]),
+                }
+                if with_ids:
+                    ids = [shard.ids[i:j].astype("<u4").tobytes() for i, j in zip(starts[a:b], ends[a:b])]
+                    columns["ids"] = pa.array(ids, pa.binary())
+                yield pa.record_batch(columns)
+
+
+def table_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each shard without their ids."""
+    return unfold(batches, with_ids=False)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -284,7 +371,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     `ids` are the bytes of little-endian unsigned 32-bit integers. Checksums are verified.
     """
-    return file_bytes(spark, f"{path}/shards").mapInArrow(unfold, DOCUMENTS)
+    return file_bytes(spark, f"{path}/shards").mapInArrow(unfold, f"{PLACES}, ids binary")
 
 
 def shard_table(documents: DataFrame) -> DataFrame:
@@ -348,7 +435,7 @@ def write_tokens(
         .select("id", "text")
     )
     save_files(dealt.mapInArrow(shard_writer(shared, end_id), "blob binary"), f"{path}/shards")
-    found = written(read_documents(spark, path).drop("ids"))
+    found = written(file_bytes(spark, f"{path}/shards").mapInArrow(table_of, PLACES))
     shard_table(found).write.parquet(f"{path}/table")
 
     # rows of one key follow each other: its entry is the first of them

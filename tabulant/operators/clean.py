@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulant.core.columns import (
+    distinct_counts,
     number,
     numeric_columns,
     present,
@@ -132,21 +133,19 @@ def normalize_types(df: DataFrame, category_share: float = 0.05) -> DataFrame:
     if not names:
         return df
     cells = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(names):
-        v = F.col(quoted(c))
-        cells += [
-            F.count_distinct(v).alias(f"u{i}"),
-            F.count(v).alias(f"n{i}"),
-            F.count(v.try_cast("double")).alias(f"ok{i}"),
-        ]
-    row = df.agg(*cells).first()
+    values = {c: F.col(quoted(c)) for c in names}
+    for i, v in enumerate(values.values()):
+        cells += [F.count(v).alias(f"n{i}"), F.count(v.try_cast("double")).alias(f"ok{i}")]
+    # sketches decide but for columns near the limit
+    near = lambda rows: (0.8 * category_share * rows - 8, 1.2 * category_share * rows + 8)
+    row, counts = distinct_counts(df, values, near, cells)
     cols = []
     for f in df.schema.fields:
         if f.name not in names or not row["rows"]:
             cols.append(F.col(quoted(f.name)))
             continue
         i = names.index(f.name)
-        if row[f"u{i}"] / row["rows"] < category_share:
+        if counts[f.name] / row["rows"] < category_share:
             cols.append(F.col(quoted(f.name)).alias(f.name, metadata={"kind": "category"}))
         elif row[f"n{i}"] and row[f"ok{i}"] == row[f"n{i}"]:
             cols.append(F.col(quoted(f.name)).try_cast("double").alias(f.name))

@@ -143,7 +143,10 @@ def clustering_metrics(
     """
     p = len(features)
     x = [number(df, c).alias(f"x{i}") for i, c in enumerate(features)]
-    data = df.select(present(df, labels).alias("c"), *x).dropna()
+    data = df.select(present(df, labels).alias("c"), *x)
+    # a condition per column: one over all columns takes the optimizer exponential time
+    for c in data.columns:
+        data = data.where(F.col(c).isNotNull())
     cells = [F.count(F.lit(1)).alias("n")]
     cells += [F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]
     within = sum((F.var_pop(f"x{i}") for i in range(1, p)), F.var_pop("x0"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulant.core.columns import (
+    distinct_counts,
     few_values,
     melt_text,
     number,
@@ -226,26 +227,23 @@ def detect_feature_types(df: DataFrame, max_categories: int = 20) -> DataFrame:
 
 
 def detect_encoded_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """binary_encoded, categorical_encoded or numeric per numeric column."""
+    """binary_encoded, categorical_encoded or numeric per numeric column.
+
+    One pass brings bounds and sketches; only columns that may have ten values or fewer are
+    counted exactly, where equal values are merged at once.
+    """
     columns = list(columns or numeric_columns(df))
+    values = {c: number(df, c) for c in columns}
     cells = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        v = number(df, c)
-        cells += [
-            F.count_distinct(v).alias(f"u{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-        ]
+    for i, v in enumerate(values.values()):
+        cells += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    row, counts = distinct_counts(df, values, lambda rows: (0, 10), cells)
     out = []
     for i, c in enumerate(columns):
-        u = F.col(f"u{i}")
-        binary = (u == 2) & (F.col(f"lo{i}") == 0) & (F.col(f"hi{i}") == 1)
-        few = (u <= 10) & (F.try_divide(u.cast("double"), F.col("rows")) < 0.1)
-        kind = (
-            F.when(binary, "binary_encoded").when(few, "categorical_encoded").otherwise("numeric")
-        )
-        out.append(F.struct(F.lit(c).alias("feature"), kind.alias("kind")))
-    return df.agg(*cells).select(rows_of(out))
+        u, few = counts[c], counts[c] <= 10 and row["rows"] and counts[c] / row["rows"] < 0.1
+        binary = u == 2 and row[f"lo{i}"] == 0 and row[f"hi{i}"] == 1
+        out.append((c, "binary_encoded" if binary else "categorical_encoded" if few else "numeric"))
+    return df.sparkSession.createDataFrame(out, "feature string, kind string")
 
 
 def target_type(df: DataFrame, target: str, threshold: int = 3) -> DataFrame:

@@ -319,10 +319,18 @@ def q_cluster_metrics(spark, sf):
     return rounded(out.drop("silhouette"), 6)
 
 
-@query("silhouette")
+@query(
+    "silhouette",
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    d AS (SELECT a.vec_id, a.label = b.label AS own, b.label, avg(list_distance(a.e, b.e) ** 2) AS m
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+    s AS (SELECT vec_id, min(m) FILTER (own) AS a, min(m) FILTER (NOT own) AS b FROM d GROUP BY 1)
+    SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette,
+      (SELECT count(DISTINCT label) FROM v) AS n_clusters FROM s""",
+)
 def q_silhouette(spark, sf):
-    out = evaluate.clustering_metrics(vectors(spark, sf), FIRST, "label")
-    return out.select("silhouette", "n_clusters")
+    out = evaluate.clustering_metrics(vectors(spark, sf), DIMS, "label")
+    return rounded(out.select("silhouette", "n_clusters"), 6)
 
 
 @query(
@@ -340,11 +348,30 @@ def q_rand(spark, sf):
     )
 
 
-@query("adjusted_mutual_information")
+@query(
+    "adjusted_mutual_information",
+    """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2),
+    t AS (SELECT sum(n) AS n FROM c), x AS (SELECT a, sum(n) AS s FROM c GROUP BY 1),
+    y AS (SELECT b, sum(n) AS s FROM c GROUP BY 1),
+    mi AS (SELECT sum(c.n / t.n * ln(t.n * c.n / (x.s * y.s))) AS v FROM c, t, x, y WHERE c.a = x.a AND c.b = y.b),
+    h AS (SELECT ((SELECT sum(-s / n * ln(s / n)) FROM x, t) + (SELECT sum(-s / n * ln(s / n)) FROM y, t)) / 2 AS v),
+    k AS (SELECT x.s AS a, y.s AS b, t.n,
+        unnest(range(greatest(1, x.s + y.s - t.n)::BIGINT, least(x.s, y.s)::BIGINT + 1))::DOUBLE AS k FROM x, y, t),
+    e AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1)
+        + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1)
+        - lgamma(n - a - b + k + 1))) AS v FROM k)
+    SELECT round(mi.v, 10) AS mutual_information, round(e.v, 10) AS expected,
+      round((mi.v - e.v) / (h.v - e.v), 8) + 0.0 AS adjusted_mutual_information FROM mi, h, e""",
+)
 def q_ami(spark, sf):
-    return evaluate.adjusted_mutual_information(
+    out = evaluate.adjusted_mutual_information(
         table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"
     )
+    return out.select(
+        F.round("mutual_information", 10).alias("mutual_information"),
+        F.round("expected", 10).alias("expected"),
+        (F.round("adjusted_mutual_information", 8) + 0.0).alias("adjusted_mutual_information"),
+    )
 
 
 @query("kfold", "SELECT o_orderkey, o_orderkey % 5 AS fold FROM orders")

@@ -75,9 +75,24 @@ def q_strength(spark, sf):
     return rounded(series.seasonal_strength(daily(spark, sf), *KEYS), 6)
 
 
-@query("forecast")
+@query(
+    "forecast",
+    f"""WITH RECURSIVE {DAILY}, g AS (SELECT 0.05 + 0.15 * i AS a, 0.05 + 0.15 * j AS b, i, j
+      FROM range(0, 7) AS x(i), range(0, 7) AS y(j)),
+    r AS (SELECT event_type, a::DOUBLE AS a, b::DOUBLE AS b, i, j, 0 AS pos, v AS level, t AS trend, 0.0::DOUBLE AS sse
+      FROM g, (SELECT event_type, v, lead(v) OVER (PARTITION BY event_type ORDER BY pos) - v AS t, pos FROM p) WHERE pos = 0
+      UNION ALL
+      SELECT event_type, a, b, i, j, r.pos + 1, a * v + (1 - a) * (level + trend),
+        b * (a * v + (1 - a) * (level + trend) - level) + (1 - b) * trend, sse + (v - level - trend) ** 2
+      FROM r JOIN p USING (event_type) WHERE p.pos = r.pos + 1),
+    best AS (SELECT r.* FROM r JOIN (SELECT DISTINCT event_type, n FROM p) USING (event_type) WHERE pos = n - 1
+      QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY sse, i, j) = 1)
+    SELECT event_type, CAST(step AS BIGINT) AS step, round(level + step * trend, 4) AS forecast,
+      round(a, 4) AS level_rate, round(b, 4) AS trend_rate
+    FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM best)""",
+)
 def q_forecast(spark, sf):
-    return series.forecast(daily(spark, sf), *KEYS)
+    return rounded(series.forecast(daily(spark, sf), *KEYS))
 
 
 @query(
@@ -141,9 +156,34 @@ def q_ar_seasonal(spark, sf):
     return rounded(series.ar_forecast(daily(spark, sf), *KEYS, steps=3, season=7))
 
 
-@query("seasonal_regression_forecast")
+def _seasonal_sql(steps):
+    """Trend and two waves of period 7 by least squares: columns are freed of those before them."""
+    waves = [f"{f}((pos * {k}) % 7 * 2 * pi() / 7)" for k in (1, 2) for f in ("sin", "cos")]
+    names = [f"x{i}" for i in range(5)]
+    ctes = [
+        DAILY,
+        f"""q AS (SELECT event_type, pos, n, v FROM p UNION ALL
+          SELECT event_type, n - 1 + unnest(range(1, {steps} + 1)), n, NULL FROM (SELECT DISTINCT event_type, n FROM p))""",
+        "z0 AS (SELECT event_type, pos, n, v, v AS y, pos::DOUBLE AS x0, "
+        + ", ".join(f"{w} AS x{i + 1}" for i, w in enumerate(waves)) + " FROM q)",
+    ]
+    own = "FILTER (v IS NOT NULL) OVER (PARTITION BY event_type)"
+    centred = ", ".join(f"{c} - avg({c}) {own} AS {c}" for c in [*names, "y"])
+    ctes.append(f"c0 AS (SELECT event_type, pos, n, v, avg(y) {own} AS fit, {centred} FROM z0)")
+    for i, x in enumerate(names):
+        slope = lambda c: f"(sum({c} * {x}) {own} / sum({x} * {x}) {own})"  # noqa: B023, E731
+        rest = ", ".join(f"{c} - {slope(c)} * {x} AS {c}" for c in [*names[i + 1 :], "y"])
+        ctes.append(f"c{i + 1} AS (SELECT event_type, pos, n, v, fit + {slope('y')} * {x} AS fit, {rest} FROM c{i})")
+    return ", ".join(ctes)
+
+
+@query(
+    "seasonal_regression_forecast",
+    f"""WITH {_seasonal_sql(5)} SELECT event_type, CAST(pos - n + 1 AS BIGINT) AS step, round(fit, 4) AS forecast
+    FROM c5 WHERE v IS NULL""",
+)
 def q_seasonal_regression(spark, sf):
-    return series.seasonal_regression_forecast(daily(spark, sf), *KEYS, period=7)
+    return rounded(series.seasonal_regression_forecast(daily(spark, sf), *KEYS, period=7))
 
 
 RESIDUALS = f"""{DAILY}, f AS (SELECT event_type, regr_slope(v, pos) AS b,
@@ -184,7 +224,13 @@ def q_anomaly_quantile(spark, sf):
     return rounded(series.residual_anomalies(res, "event_type", "quantile"))
 
 
-@query("residual_anomalies_seasonal")
+@query(
+    "residual_anomalies_seasonal",
+    f"""WITH {_seasonal_sql(0)}, r AS (SELECT event_type, v, pos, v - fit AS r FROM c5 WHERE v IS NOT NULL),
+    s AS (SELECT event_type, avg(r) AS m, stddev_samp(r) AS s FROM r GROUP BY 1)
+    SELECT event_type, v, pos AS position, round(r, 4) + 0.0 AS residual, abs((r - m) / s) > 2 AS anomaly
+    FROM r JOIN s USING (event_type)""",
+)
 def q_anomaly_seasonal(spark, sf):
     res = series.model_residuals(daily(spark, sf), *KEYS, model="seasonal")
-    return series.residual_anomalies(res.drop("day"), "event_type")
+    return rounded(series.residual_anomalies(res.drop("day"), "event_type"))

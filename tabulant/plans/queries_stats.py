@@ -175,11 +175,43 @@ def q_linear(spark, sf):
     )
 
 
-@query("linear_regression_multi")
+def _cross(a, b):
+    return f"covar_pop({a}, {b}) * count(*)"
+
+
+@query(
+    "linear_regression_multi",
+    # inverse of the 3 x 3 cross products by cofactors
+    f"""WITH m AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_tax) AS m3,
+        avg(l_extendedprice) AS my, {_cross("l_extendedprice", "l_extendedprice")} AS yy,
+        {_cross("l_quantity", "l_quantity")} AS a, {_cross("l_quantity", "l_discount")} AS b,
+        {_cross("l_quantity", "l_tax")} AS c, {_cross("l_discount", "l_discount")} AS d,
+        {_cross("l_discount", "l_tax")} AS e, {_cross("l_tax", "l_tax")} AS f,
+        {_cross("l_quantity", "l_extendedprice")} AS y1, {_cross("l_discount", "l_extendedprice")} AS y2,
+        {_cross("l_tax", "l_extendedprice")} AS y3 FROM lineitem),
+    i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+    g AS (SELECT *, (d * f - e * e) / det AS i11, (c * e - b * f) / det AS i12, (b * e - c * d) / det AS i13,
+        (a * f - c * c) / det AS i22, (b * c - a * e) / det AS i23, (a * d - b * b) / det AS i33 FROM i),
+    w AS (SELECT *, i11 * y1 + i12 * y2 + i13 * y3 AS b1, i12 * y1 + i22 * y2 + i23 * y3 AS b2,
+        i13 * y1 + i23 * y2 + i33 * y3 AS b3 FROM g),
+    s AS (SELECT *, (yy - b1 * y1 - b2 * y2 - b3 * y3) / (n - 4) AS s2,
+        (b1 * y1 + b2 * y2 + b3 * y3) / yy AS r2 FROM w),
+    t AS (SELECT 'intercept' AS term, my - b1 * m1 - b2 * m2 - b3 * m3 AS coefficient, sqrt(s2 * (1 / n + m1 * m1 * i11
+          + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23))) AS std_error, s.* FROM s
+      UNION ALL SELECT 'l_quantity', b1, sqrt(s2 * i11), s.* FROM s
+      UNION ALL SELECT 'l_discount', b2, sqrt(s2 * i22), s.* FROM s
+      UNION ALL SELECT 'l_tax', b3, sqrt(s2 * i33), s.* FROM s)
+    SELECT term, round(coefficient, 4) + 0.0 AS coefficient, round(std_error, 4) AS std_error,
+      round(coefficient / std_error, 4) + 0.0 AS t_statistic, round(r2, 8) AS r_squared,
+      round(1 - (1 - r2) * (n - 1) / (n - 4), 8) + 0.0 AS adj_r_squared,
+      round(r2 / 3 / ((1 - r2) / (n - 4)), 4) AS f_statistic, 3::BIGINT AS rank, n::BIGINT AS n FROM t""",
+)
 def q_linear_multi(spark, sf):
-    return regression.linear_regression(
+    out = regression.linear_regression(
         lineitem(spark, sf), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"
-    )
+    ).drop("p_value", "f_p_value")
+    fine = ["r_squared", "adj_r_squared"]
+    return rounded(out, 4).drop(*fine).join(rounded(out.select("term", *fine), 8), "term")
 
 
 @query("forest_regression")

@@ -7,12 +7,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tabulant.llm import tokenfiles
-from tabulant.llm.bpe import PRE
 from tabulant.llm.common import work_path
 from tabulant.llm.tokenfiles import (
+    Encoder,
     KeyIndex,
     PerfectHash,
     TokenShard,
@@ -117,13 +118,16 @@ def test_perfect_hash_is_minimal():
         assert not (by_slot[slot[slot >= 0]] == fingerprint(strangers[slot >= 0])).any()
 
 
-def test_pieces_are_encoded_alone_as_in_their_text():
+def test_encoder_equals_library_on_odd_texts():
     rng = random.Random(4)
-    marks = "ab é'sre  　\x1c\x85᠎​ \t\n\r12-²ⅷ日́_"
-    from tokenizers import Tokenizer
-
-    lib = Tokenizer.from_file(PATH)
-    for _ in range(3000):
-        text = "".join(rng.choice(marks) for _ in range(rng.randint(1, 14)))
-        whole = lib.encode(text, add_special_tokens=False).ids
-        assert whole == [i for p in PRE.findall(text) for i in lib.encode(p, add_special_tokens=False).ids], repr(text)
+    encoder = Encoder({"source": open(PATH, encoding="utf-8").read()})
+    marks = "ab é'sre  \u3000\x1c\x85\u180e\u200b \t\n\r12-²ⅷ日́_"
+    texts = ["x" * 5000, " " * 700, "ab " * 900, "é" * 999, "日本" * 400, "", " "]
+    for n in range(6000):
+        text = "".join(rng.choice(marks) for _ in range(rng.randint(0, 14)))
+        texts.append(text + "<|endoftext|>" * (n % 7 == 0) + " the." * (n % 3))
+    want = [library(t, 0)[:-1] for t in texts]
+    assert [encoder.encode(t).tolist() for t in texts] == want
+    for step in (1, 3, 1000):
+        got = [x for i in range(0, len(texts), step) for x in encoder.encode_all(pa.array(texts[i : i + step]))]
+        assert [x.tolist() for x in got] == want
