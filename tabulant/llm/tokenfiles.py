@@ -48,8 +48,8 @@ PART_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 200_000
 #: Words and pre-tokens in a table before it is the old one.
-WORDS = 200_000
-PIECES = 200_000
+WORDS = 80_000
+PIECES = 450_000
 MARKS = frozenset(".,;:!?")
 #: A space after other white space may share a pre-token with it.
 LATE_SPACE = regex.compile(r"\s ")
