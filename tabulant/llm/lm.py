@@ -344,19 +344,20 @@ def score_texts(
         value = np.concatenate(
             [tree.path(code[i : i + 50_000], shallow) for i in range(0, len(code), 50_000)]
         )
-        return {
-            b: pack(value[np.searchsorted(code, unpack_pairs(blob)[0])].astype(np.float32))
-            for b, blob in got.items()
-        }
+        # the grams go back with their values, so a batch need not collect them again
+        out = {}
+        for b, blob in got.items():
+            own = unpack_pairs(blob)[0]
+            out[b] = pack(own) + pack(value[np.searchsorted(code, own)].astype(np.float32))
+        return out
 
     def result(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        bodies, train, code, _ = questions(table)
-        value = np.zeros(len(code), np.float32)
-        order, edge = split_by(bucket_of(code, parts), parts)
-        for k in range(parts):
-            if edge[k] < edge[k + 1]:
-                value[order[edge[k] : edge[k + 1]]] = unpack(got[parts + k], np.float32)
-        lookup = Lookup(code, value)
+        bodies, train = lowered(table), np.array(table.column("train").to_pylist(), bool)
+        blobs = [blob for k, blob in got.items() if k >= parts]
+        code = np.concatenate([np.zeros(0, np.uint64), *(unpack(b[: len(b) // 12 * 8], np.uint64) for b in blobs)])
+        value = np.concatenate([np.zeros(0, np.float32), *(unpack(b[len(b) // 12 * 8 :], np.float32) for b in blobs)])
+        order = np.argsort(code)
+        lookup = Lookup(code[order], value[order])
         counts: dict[bytes, int] = {}
         sums: list[dict] = []
         for k, own in enumerate(word_buckets(word_table(bodies, train))):
