@@ -4,7 +4,7 @@ import importlib
 
 from tabulant.plans.registry import ORACLES, QUERIES
 
-MODULES = ["queries_profile", "queries_features", "queries_stats", "queries_search", "queries_series", "queries_models", "queries_flow"]
+MODULES = ["queries_profile", "queries_features", "queries_stats", "queries_search", "queries_series", "queries_models", "queries_properties", "queries_flow"]
 
 for _name in MODULES:
     importlib.import_module(f"tabulant.plans.{_name}")

@@ -52,7 +52,9 @@ class _PageReader(DataSourceReader):
 
     Pages are dealt out in strides, so tasks read side by side without the total being
     known. A service may give fewer items per page than asked for: the first page tells how
-    many, and offsets go on from that. A cursor has to be followed in order and is one
+    many make a window of offsets, and a window that comes up short is asked for the rest,
+    so no page in the middle loses items. Numbered pages have no such way out: there the
+    service has to keep its page length. A cursor has to be followed in order and is one
     partition.
     """
 
@@ -63,19 +65,29 @@ class _PageReader(DataSourceReader):
         spec = self.spec
         n = 1 if spec["paging"] == "cursor" else spec["partitions"]
         if spec["paging"] == "offset":
-            got = len(self._page(0, spec["page_size"]))
+            where = {spec["names"]["offset"]: 0, spec["names"]["limit"]: spec["page_size"]}
+            base = {"headers": spec["headers"], "params": {**spec["params"], **where}}
+            got = len(answer_items(_fetched(spec["fetch"], base)))
             return [_Stride(i, n, min(got, spec["page_size"]) or 1) for i in range(n)]
         return [_Stride(i, n, spec["page_size"]) for i in range(n)]
 
     def _page(self, number: int, size: int) -> list[dict]:
+        """Items of one page. A window of offsets that comes in parts is asked for to its end."""
         spec, name = self.spec, self.spec["names"]
-        where = (
-            {name["offset"]: number * size, name["limit"]: size}
-            if spec["paging"] == "offset"
-            else {name["page"]: number + 1, name["per_page"]: size}
-        )
-        base = {"headers": spec["headers"], "params": {**spec["params"], **where}}
-        return answer_items(_fetched(spec["fetch"], base))
+
+        def asked(where: dict) -> list[dict]:
+            base = {"headers": spec["headers"], "params": {**spec["params"], **where}}
+            return answer_items(_fetched(spec["fetch"], base))
+
+        if spec["paging"] == "page":
+            return asked({name["page"]: number + 1, name["per_page"]: size})
+        out: list[dict] = []
+        while len(out) < size:
+            part = asked({name["offset"]: number * size + len(out), name["limit"]: size - len(out)})
+            if not part:
+                break
+            out += part[: size - len(out)]
+        return out
 
     def _row(self, item: dict) -> tuple:
         return tuple(item.get(n) for n in self.names)

@@ -44,6 +44,16 @@ def test_service_that_caps_its_pages(spark, paging):
     assert sorted(r.id for r in got.collect()) == list(range(1000))
 
 
+def test_service_with_a_short_page_in_the_middle(spark):
+    def fetch(request):
+        at = request["params"]["offset"]
+        many = 60 if at == 300 else 100
+        return [{"id": i} for i in range(at, min(at + many, 1000))]
+
+    got = read_pages(spark, "uneven", fetch, "id long", page_size=100, partitions=3)
+    assert sorted(r.id for r in got.collect()) == list(range(1000))
+
+
 def test_replacement_character_is_utf8(spark, tmp_path):
     path = f"{tmp_path}/a.csv"
     with open(path, "w", encoding="utf-8") as f:
