@@ -22,7 +22,8 @@ from tabulant.llm.samples import bottom_sample
 
 WORD = regex.compile(r"\p{L}+")
 LANE = 128  # words that one lane of the side-by-side passes holds
-CACHED = 300_000
+CACHED = 200_000
+SCORED = 20_000  # words whose features are in memory at once
 NONE = "und"
 
 
@@ -277,7 +278,7 @@ def _labeller(shared):
         if "rows" not in model:
             model["rows"], model["table"] = {}, np.zeros((CACHED, k), np.float32)
         known, scores_of = model["rows"], model["table"]
-        for ids, bodies in document_chunks(batches, 4 << 20):
+        for ids, bodies in document_chunks(batches, 1 << 20):
             found = [words_of(b.decode()) for b in bodies]
             counts = np.array([len(w) for w in found])
             shares = np.zeros((len(ids), k))
@@ -289,8 +290,8 @@ def _labeller(shared):
                         known.clear()
                         new = set(words)
                     fresh = sorted(new)
-                    for i in range(0, len(fresh), CACHED):
-                        part = fresh[i : i + CACHED]
+                    for i in range(0, len(fresh), SCORED):
+                        part = fresh[i : i + SCORED]
                         base = len(known)
                         known.update(zip(part, range(base, base + len(part))))
                         scores_of[base : base + len(part)] = word_scores(
