@@ -127,17 +127,19 @@ def op7_decontaminate(spark, sf_dir):
     )
 
 
-def remainder(key: str, modulus: int):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+def held_out(key: str, modulus: int):
+    """Whether the id's remainder is 1; a null id is never held out."""
+    rest = F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+    return F.coalesce(rest == 1, F.lit(False))
 
 
 @query("op4_language")
 def op4_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(remainder("doc_id", 3) != 1))
+    model = train(docs.where(~held_out("doc_id", 3)))
     return identify(docs, model).select(
         "doc_id",
-        (remainder("doc_id", 3) == 1).alias("held_out"),
+        held_out("doc_id", 3).alias("held_out"),
         "lang_pred",
         "score",
         "n_words",
@@ -146,8 +148,7 @@ def op4_language(spark, sf_dir):
 
 @query("op5_lm")
 def op5_lm(spark, sf_dir):
-    held = remainder("doc_id", 5) == 1
-    scored = score_texts(table(spark, sf_dir, "documents"), ~held)
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held_out("doc_id", 5))
     return scored.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
