@@ -26,7 +26,7 @@ from tabulant.llm.common import texts
 PRE = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-CACHED = 200_000
+CACHED = 400_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -101,7 +101,7 @@ class Merges:
                 a, undone = self.made[a][1], when_a
             else:
                 b, undone = self.made[b][0], when_b + 1
-        if len(self._fits) > 4 * CACHED:
+        if len(self._fits) > 2 * CACHED:
             self._fits.clear()
         self._fits[code] = ok
         return ok
