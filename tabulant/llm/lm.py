@@ -187,6 +187,27 @@ def lowered(table: pa.Table) -> list[bytes]:
     return [t.lower() for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
+def word_buckets(bodies: list[bytes], train, parts: int) -> tuple[Counter, list[list[bytes]]]:
+    """Training counts of the distinct words of a batch, and its words dealt into buckets.
+
+    Words of a bucket are in an order that depends on the set of rows alone: a batch is read
+    twice, and Spark may give its rows in another order the second time.
+    """
+    words: Counter = Counter()
+    for b, t in zip(bodies, train):
+        if t:
+            words.update(b.split())
+        else:
+            for w in set(b.split()):
+                words.setdefault(w, 0)
+    out: list[list[bytes]] = [[] for _ in range(parts)]
+    for w in words:
+        out[zlib.crc32(w) % parts].append(w)
+    for own in out:
+        own.sort()
+    return words, out
+
+
 def fit_shallow(rows: DataFrame, parts: int) -> Shallow:
     """Train the tree once to learn what its nodes near the root need to know of the rest."""
 
@@ -289,28 +310,11 @@ def score_texts(
         order = np.argsort(code)
         return bodies, train, code[order], count[order]
 
-    def word_table(bodies: list[bytes], train) -> Counter:
-        words: Counter = Counter()
-        for b, t in zip(bodies, train):
-            if t:
-                words.update(b.split())
-        for b, t in zip(bodies, train):
-            if not t:
-                for w in set(b.split()):
-                    words.setdefault(w, 0)
-        return words
-
-    def word_buckets(words: Counter) -> list[list[bytes]]:
-        out: list[list[bytes]] = [[] for _ in range(parts)]
-        for w in words:
-            out[zlib.crc32(w) % parts].append(w)
-        return out
-
     def emit(table: pa.Table) -> dict[int, bytes]:
         bodies, train, code, count = questions(table)
-        words = word_table(bodies, train)
+        words, buckets = word_buckets(bodies, train, parts)
         out = {}
-        for k, own in enumerate(word_buckets(words)):
+        for k, own in enumerate(buckets):
             if own:
                 n = np.fromiter(map(words.__getitem__, own), np.uint32, len(own))
                 out[k] = len(own).to_bytes(4, "little") + pack(n) + b" ".join(own)
@@ -360,7 +364,7 @@ def score_texts(
         lookup = Lookup(code[order], value[order])
         counts: dict[bytes, int] = {}
         sums: list[dict] = []
-        for k, own in enumerate(word_buckets(word_table(bodies, train))):
+        for k, own in enumerate(word_buckets(bodies, train, parts)[1]):
             if own:
                 n, v = np.frombuffer(got[k][:16], np.int64).tolist()
                 sums.append({"k": k, "n": n, "v": v})

@@ -279,6 +279,24 @@ def test_lm_scores(docs_of, messy_rows):
     assert abs(fresh.score - 24 * math.log10(0.5)) < 1e-4
 
 
+def test_lm_words_have_one_order_whatever_the_order_of_rows(spark, monkeypatch):
+    texts = [(i, f"w{i} shared w{i % 7} w{i % 3} tail{i * i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    learned = F.col("doc_id") % 5 != 1
+
+    def scores():
+        return sorted((r.doc_id, r.n_known, round(r.base_score, 9)) for r in lm.score_texts(docs, learned).collect())
+
+    want, plain = scores(), lm.finish
+
+    def backwards(dealt, answers, fn, schema):
+        # the second reading of a batch gives its rows from the last to the first
+        return plain(dealt, answers, lambda t, got: fn(t.take(list(range(t.num_rows))[::-1]), got), schema)
+
+    monkeypatch.setattr(lm, "finish", backwards)
+    assert scores() == want
+
+
 def test_tree_is_a_distribution_and_matches_definition():
     body = b"abracadabra abracadabra aab"
     code, count = lm.counted([body])
