@@ -98,6 +98,11 @@ FRONT = """d AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_discount) AS d, a
     count(*) AS n FROM lineitem GROUP BY 1)"""
 
 
+def exact_mean(column: str):
+    """The mean from a decimal sum: groups of equal values tie in whatever order they are added."""
+    return F.sum(F.col(column).cast("decimal(38,18)")).cast("double") / F.count(column)
+
+
 @query(
     "pareto_front",
     f"""WITH {FRONT}
@@ -110,9 +115,9 @@ def q_front(spark, sf):
         table(spark, sf, "lineitem")
         .groupBy("l_suppkey")
         .agg(
-            F.avg("l_quantity").alias("q"),
-            F.avg("l_discount").alias("d"),
-            F.avg("l_tax").alias("t"),
+            exact_mean("l_quantity").alias("q"),
+            exact_mean("l_discount").alias("d"),
+            exact_mean("l_tax").alias("t"),
             F.count(F.lit(1)).alias("n"),
         )
     )

@@ -110,3 +110,13 @@ def test_types_of_documents():
     assert variant_type_to_ddl(text) == (
         "STRUCT<VOIDED: BIGINT, a: STRING, `x: VOID`: ARRAY<STRUCT<DECIMAL: DOUBLE, v: STRING>>, big: DECIMAL(30,2)>"
     )
+
+
+def test_groups_of_equal_values_have_one_mean_in_any_order(spark):
+    from tabulant.plans.queries_search import exact_mean
+
+    values = [0.1, 0.2, 0.3]
+    rows = [(g, v) for g, turn in enumerate((1, -1)) for v in values[::turn]]
+    out = spark.createDataFrame(rows, "g long, v double").coalesce(1).groupBy("g").agg(exact_mean("v").alias("m"))
+    assert (0.1 + 0.2) + 0.3 != (0.3 + 0.2) + 0.1
+    assert len({r.m for r in out.collect()}) == 1
