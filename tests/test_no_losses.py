@@ -120,3 +120,26 @@ def test_groups_of_equal_values_have_one_mean_in_any_order(spark):
     out = spark.createDataFrame(rows, "g long, v double").coalesce(1).groupBy("g").agg(exact_mean("v").alias("m"))
     assert (0.1 + 0.2) + 0.3 != (0.3 + 0.2) + 0.1
     assert len({r.m for r in out.collect()}) == 1
+
+
+def test_pca_moves_wide_rows_by_a_short_plan(spark):
+    import numpy as np
+
+    from tabulant.operators import cluster
+
+    width = 40
+    x = np.random.default_rng(3).normal(size=(60, width))
+    names = [f"c{i}" for i in range(width)]
+    rows = [(i, *r) for i, r in enumerate(x.tolist())] + [(60, None, *x[0, 1:].tolist())]
+    df = spark.createDataFrame(rows, "row long, " + ", ".join(f"{c} double" for c in names))
+    model = cluster.fit_pca(df, names)
+    moved = model.transform(df)
+    assert len(moved._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert moved.columns == df.columns + [f"pc_{i}" for i in range(width)]
+    got = {r.row: r for r in moved.collect()}
+    want = (x - model.mean) / model.scale @ model.vectors
+    assert np.allclose([[got[i][f"pc_{j}"] for j in range(width)] for i in range(60)], want, atol=1e-9)
+    assert all(got[60][f"pc_{j}"] is None for j in range(width))
+    back = {r.row: r for r in model.inverse(moved).collect()}
+    assert np.allclose([[back[i][c] for c in names] for i in range(60)], x, atol=1e-9)
+    assert all(back[60][c] is None for c in names)
