@@ -1,6 +1,7 @@
 """Clusters, models, evaluation and search: invariants and planted structure."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -247,3 +248,26 @@ def test_automl_compares_three_clusterers(spark):
     assert set(board) == {"kmeans", "mixture", "dbscan"}
     found = out.models["dbscan"](df)
     assert found.count() == 300 and found.select("cluster").distinct().count() == 2
+
+
+def test_a_density_cell_is_sent_once_per_block(spark, monkeypatch):
+    monkeypatch.setattr(density, "BLOCKS", 3)
+    x = np.random.default_rng(2).normal(size=(60, 3))
+    rows = [(i // 2, i, 1, 0, 0, r) for i, r in enumerate(x.tolist())]
+    points = spark.createDataFrame(rows, "cell long, pid long, w long, core long, comp long, x array<double>")
+    pairs = [(a, b) for a in range(30) for b in range(a, 30)]
+
+    def tell(cells, own):
+        return pa.table({"sent": [len(cells)], "compared": [len(own)]})
+
+    frame = spark.createDataFrame(pairs, "cell_a long, cell_b long")
+    out = density._met(frame, density._blobs(points), tell, "sent long, compared long").collect()
+    assert sum(r.compared for r in out) == len(pairs)
+    assert sum(r.sent for r in out) == 3 * 30  # two per pair of cells would be 930
+
+
+def test_near_rows_by_products_are_those_by_differences():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(200, 8)) + 1e4
+    b = np.concatenate([a[:50], a[:50] + 0.5 / np.sqrt(8), rng.normal(size=(50, 8)) + 1e4])
+    assert (density._near(a, b, 0.5) == (density._distances(a, b) <= 0.25)).all()
