@@ -271,3 +271,30 @@ def test_near_rows_by_products_are_those_by_differences():
     a = rng.normal(size=(200, 8)) + 1e4
     b = np.concatenate([a[:50], a[:50] + 0.5 / np.sqrt(8), rng.normal(size=(50, 8)) + 1e4])
     assert (density._near(a, b, 0.5) == (density._distances(a, b) <= 0.25)).all()
+
+
+def test_trees_on_merged_rows(spark, monkeypatch):
+    """Equal rows are one row with a weight: boosting gives the same model, a forest keeps its sums."""
+    rows = [(i, i % 7, "uvw"[i % 3], float((i % 7) ** 2 + (i % 11)), i / 7.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, a int, t string, y double, x double")
+    options = {"rounds": 3, "depth": 3, "classes": False}
+    plain = models.fit_boosted(df, ["a", "t"], "y", **options).predict(df)
+    before = {r["id"]: r["prediction"] for r in plain.collect()}
+    monkeypatch.setattr(models, "TREE_ROWS", 500)
+    sizes = []
+    merged = models.merged_rows
+    monkeypatch.setattr(models, "merged_rows", lambda *a: sizes.append(merged(*a)) or sizes[-1])
+    after = models.fit_boosted(df, ["a", "t"], "y", **options).predict(df).collect()
+    assert sizes[0].count() == 21
+    assert max(abs(before[r["id"]] - r["prediction"]) for r in after) < 1e-9
+    # a column of distinct numbers is cut into bins, and every row is in the weights
+    forest = models.fit_forest(df, ["a", "x"], "t", trees=3, depth=4)
+    assert sizes[1].count() <= 500 + 7 * 32 * 3 and sizes[1].agg({"weight": "sum"}).first()[0] == 3000
+    assert abs(forest.importance(spark).agg({"score": "sum"}).first()[0] - 1) < 1e-9
+    assert forest.predict(df).where("prediction in ('u', 'v', 'w')").count() == 3000
+    out = models.automl(
+        df, "y", ["a", "t"], row_key="id", folds=2, models=["linear", "forest"], settings={"forest": {"numTrees": 3}}
+    )
+    assert {r["model"] for r in out.leaderboard.collect()} == {"linear", "forest"}
+    assert sizes[2].agg({"weight": "sum"}).first()[0] == 2400
+    assert out.models["forest"].predict(df).where("prediction is not null").count() == 3000
