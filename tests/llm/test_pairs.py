@@ -162,6 +162,35 @@ def test_near_passages_of_one_pair(docs_of):
     assert got[1].n_repeated == 400 and 400 <= got[2].n_repeated <= 408
 
 
+def test_near_passages_lose_no_link(docs_of):
+    """A passage held twice by a document, and variants that are like each other, not the first."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, twice, sets = [], [], {}
+    for i in range(8):
+        p = word(70)
+        rows.append((100 + i, " ".join(word(40) + p + word(90) + p + word(30))))
+        rows.append((200 + i, " ".join(word(25) + p + word(25))))
+        twice.append(100 + i)
+    base = word(50)
+    for i in range(12):  # pairs 2k, 2k + 1 are nearly alike, others share half of the words
+        v = list(base)
+        for at in rng.choice(50, 6, replace=False):
+            v[at] = f"pair{i // 2}-{at}" if i % 2 == 0 else v[at]
+        if i % 2:
+            v = list(sets[299 + i])
+            v[25] = "other"
+        sets[300 + i] = v
+        rows.append((300 + i, " ".join(word(10) + v + word(10))))
+    got = {r.doc_id: r for r in near_passages(docs_of(rows)).collect()}
+    for i in twice:
+        assert 140 <= got[i].n_repeated <= 165 and got[i].passages[0].match == i + 100
+    shingles = {i: {tuple(v[j : j + 5]) for j in range(46)} for i, v in sets.items()}
+    for i, x in shingles.items():
+        like = [k for k, y in shingles.items() if k != i and len(x & y) >= 0.8 * len(x | y)]
+        assert like and {p.match for p in got[i].passages} >= {min(like)}
+
+
 def test_passing_runs_are_all():
     from tabulant.llm.passages import passing_runs, widest
 
