@@ -191,6 +191,44 @@ def test_near_passages_lose_no_link(docs_of):
         assert like and {p.match for p in got[i].passages} >= {min(like)}
 
 
+def test_near_passages_of_words_said_over_and_over(docs_of):
+    """Windows of few distinct shingles, against brute force; a run is one passage, not one per shift."""
+    say = lambda *runs: " ".join(" ".join([w] * n) for w, n in runs)
+    rows = [
+        (1, say(("the", 100))),
+        (2, say(("the", 60))),
+        (3, say(("of", 30), ("the", 40))),
+        (4, say(("of", 48), ("the", 2), ("and", 60))),
+        (5, say(("of", 52), ("and", 50))),
+        (6, say(("a", 3), ("of", 55))),
+        (7, say(("x y", 40))),
+        (8, say(("y x", 31))),
+        (9, say(("once", 80))),
+        (9, say(("once", 70))),
+        (10, say(("the", 49))),
+    ]
+    sets = {}
+    for n, (_, t) in enumerate(rows):
+        w = t.split()
+        sets[n] = [{tuple(w[j : j + 5]) for j in range(k, k + 46)} for k in range(len(w) - 49)]
+    want, partner = [], {}
+    for n, (i, t) in enumerate(rows):
+        hit = set()
+        for k, x in enumerate(sets[n]):
+            assert len(x) <= 8
+            for m, (o, _) in enumerate(rows):
+                if o != i and any(len(x & y) >= 0.8 * len(x | y) for y in sets[m]):
+                    hit |= set(range(k, k + 50))
+                    partner.setdefault(i, set()).add(o)
+        want.append((i, len(t.split()), len(hit)))
+    got = near_passages(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_repeated) for r in got) == sorted(want)
+    found = {r.doc_id: r.passages for r in got}
+    assert [(p.start, p.end, p.match, p.similarity) for p in found[1]] == [(0, 100, 2, 1.0)]
+    for i, p in found.items():
+        assert {x.match for x in p} <= partner.get(i, set()) and bool(p) == (i in partner)
+
+
 def test_passing_runs_are_all():
     from tabulant.llm.passages import passing_runs, widest
 
