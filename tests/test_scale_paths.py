@@ -201,3 +201,29 @@ def test_shuffle_keeps_the_values(spark):
     df = spark.range(500).select((F.col("id") * 0).alias("k"), (F.col("id") % 50).alias("v"))
     out = shuffle_column(df, "v")
     assert out.groupBy("v").count().where("count <> 10").count() == 0 and out.count() == 500
+
+
+def test_quantile_codes_are_searched(spark):
+    """Codes by binary search equal the comparisons, and score plans stay short enough to compile."""
+    from tabulant.operators.features import quantile_code, with_quantile_codes
+    from tabulant.operators.select import mutual_information
+
+    inf = float("inf")
+    values = [None, -inf, -2.0, -0.0, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0, inf]
+    df = spark.createDataFrame([(v, v, v, v, v, "k") for v in values], "a double, b double, c double, d double, e double, k string")
+    edges = {
+        "a": [-2.0, -0.0, 1.0, 2.0],
+        "b": [0.0, 0.0, 0.0, 1.0, 1.0, 3.0],
+        "c": [1.0],
+        "d": [],
+        "e": [-inf, 0.5, inf, inf, inf],
+    }
+    got = with_quantile_codes(df, edges).collect()
+    want = df.select(*[quantile_code(F.col(c), es).alias(c) for c, es in edges.items()], "k").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    wide = spark.range(200).select(
+        *[(F.hash("id", F.lit(i)) % 97).cast("double").alias(f"x{i}") for i in range(6)]
+    )
+    scores = mutual_information(wide, "x5", classes=False)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(">=") < 10 and scores.count() == 5
