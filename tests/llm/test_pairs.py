@@ -253,6 +253,48 @@ def test_passing_runs_are_all():
                 assert held == {g[side] for g in want}
 
 
+def test_pairs_of_a_cell_bring_each_span_once(spark):
+    """Pairs of large groups: texts sent grow with the spans of a cell, not with its pairs."""
+    from tabulant.llm.passages import in_cells
+
+    groups = [range(1000, 1200), range(5000, 5050), *([i, i + 1] for i in range(9000, 9040, 2))]
+    want = {(a, b) for g in groups for a in g for b in g if a < b}
+    linked = spark.createDataFrame(sorted(want), "a long, b long")
+    got = [tuple(r) for r in in_cells(linked, 4).collect()]
+    assert len(got) == len(want) and {x[:2] for x in got} == want
+    sent = {(cell, x) for a, b, cell in got for x in (a, b)}
+    assert len(sent) < len(want) / 10
+
+
+def test_alike_runs_of_many_pairs():
+    """The same runs as pair by pair: edits, shifts, tokens said again, and copies far apart."""
+    from tabulant.llm.passages import Spans, alike_runs, passing_runs, widest
+
+    rng = np.random.default_rng(9)
+    base, texts = rng.integers(0, 10**6, 160), []
+    for case in range(40):
+        t = base.copy()
+        t[rng.random(160) < 0.04] = rng.integers(0, 10**6)
+        if case % 2:
+            at = int(rng.integers(10, 150))
+            t = np.concatenate([t[:at], rng.integers(0, 10**6, case % 5), t[at + case % 3 :]])
+        if case % 4 == 2:
+            t = np.concatenate([t[100:], t[:70], t[20:60]])
+        if case % 5 == 3:
+            t[rng.random(len(t)) < 0.1] = 7
+        if case % 8 == 7:
+            t = rng.integers(0, 6, 60)
+        texts.append(t[int(rng.integers(0, 30)) :].astype(np.uint32))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    for least in (10, 21):
+        want = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            for u, v, d, j in widest(passing_runs(texts[x], texts[y], least, 0.8)):
+                want.append((x, u, v, y, u - d, j))
+        got = alike_runs(Spans(texts, least), a, b, least, 0.8)
+        assert len(want) > 1000 and sorted(zip(*(x.tolist() for x in got))) == sorted(want)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(1500, 12)) * rng.uniform(0.5, 2, size=(1500, 1))
