@@ -125,6 +125,62 @@ def test_analyze(spark):
     assert {"validation", "profile", "tests", "effects", "report_top", "report_weights"} <= set(out)
 
 
+def test_the_analyze_query_runs_every_step(spark, monkeypatch):
+    import tabulant.plans.analyze as plan
+    from tabulant.operators.models import automl
+    from tabulant.plans import queries_flow
+
+    h = F.xxhash64("id")
+    tables = {
+        "customer": spark.range(40).select(
+            F.col("id").alias("c_custkey"),
+            F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.pmod(h, F.lit(3)) + 1).cast("int")).alias(
+                "c_mktsegment"
+            ),
+            (F.pmod(h, F.lit(997)) / 10).alias("c_acctbal"),
+        ),
+        "orders": spark.range(300).select(
+            F.col("id").alias("o_orderkey"),
+            (F.col("id") % 40).alias("o_custkey"),
+            F.when(F.pmod(h, F.lit(2)) == 0, "F").otherwise("O").alias("o_orderstatus"),
+            F.when(F.pmod(h, F.lit(5)) < 2, "1-URGENT").otherwise("5-LOW").alias("o_orderpriority"),
+            F.date_add(F.lit("1995-01-01").cast("date"), (F.col("id") * 3).cast("int")).alias("o_orderdate"),
+            (F.pmod(h, F.lit(9973)) + F.col("id")).cast("double").alias("o_totalprice"),
+        ),
+    }
+    asked = {}
+
+    def few(df, target, **options):
+        asked.update(options)
+        return automl(df, target, models=["linear"], folds=2, **options)
+
+    monkeypatch.setattr(queries_flow, "table", lambda spark, sf, name: tables[name])
+    monkeypatch.setattr(plan, "automl", few)
+    rows = {r["stage"]: r["rows"] for r in queries_flow.q_analyze(spark, "").collect()}
+    assert rows["selection"] > 1 and rows["leaderboard"] == 1
+    assert rows["tests"] == rows["hypotheses"] and asked["features"]
+
+
+def test_every_hypothesis_is_tested(spark, monkeypatch):
+    import tabulant.plans.analyze as plan
+    from tabulant.operators import search
+
+    df = spark.range(200).select(
+        *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100)) / 10).alias(c) for i, c in enumerate("abcd")]
+    )
+    df = df.withColumn("target", F.expr("a + 2 * b - c + d / 2"))
+    names = [["a"], ["b"], ["c"], ["d"], ["a", "b"], ["a", "c"], ["a", "d"], ["b", "c"], ["b", "d"], ["c", "d"]]
+    names += [["a", "b", "c"], ["a", "b", "c", "d"]]
+
+    def given(df, target, features, **options):
+        sets = df.sparkSession.createDataFrame(list(enumerate(names)), "subset_id long, features array<string>")
+        return search.score_subsets(df, sets, target, features)
+
+    monkeypatch.setattr(plan.search, "search_hypotheses", given)
+    out = analyze(df, max_interactions=0)
+    assert out["hypotheses"].count() == out["tests"].count() == len(names)
+
+
 def test_every_query_has_a_callable():
     import __spark_entry__ as entry
 
