@@ -130,6 +130,63 @@ def test_models_learn_and_survive_saving(spark, tmp_path):
         assert model.predict(df).where("prediction = y").count() > 250
 
 
+def test_pairs_of_cells_are_no_join_of_guessed_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(400, 6))
+    names = [f"x{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], ["i", *names])
+    monkeypatch.setattr(density, "CELL_POINTS", 8)
+    plans, cut = [], density.cut_lineage
+
+    def seen(df):
+        if "cell_a" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(density, "cut_lineage", seen)
+    got = density.dbscan(df, names, 1.5, 4).toPandas()
+    same_clusters(got, *brute_dbscan(p, 1.5, 4))
+    # pairs are many times the file they come from: Spark took them for few and broadcast them
+    assert plans and not any("explode" in x.lower() for x in plans)
+
+
+def test_linked_cells_are_not_compared_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    cells, points = range(12), {}
+    for c in cells:
+        x = rng.normal(scale=0.2, size=(6, 3))
+        pid = np.arange(6) + 10 * c
+        core = np.ones(6, np.int64)
+        core[5] = 0
+        points[c] = (pid, np.ones(6, np.int64), core, np.where(core == 1, pid[0], -1), x)
+    pairs = [(a, b) for a in cells for b in cells if a <= b]
+    sizes, near = [], density._near
+
+    def counted(a, b, eps):
+        sizes.append(len(a) * len(b))
+        return near(a, b, eps)
+
+    monkeypatch.setattr(density, "_near", counted)
+    found = density._linker(1.0)(points, pairs).to_pandas()
+    links = found[found["pid"].isna()]
+    assert len(links) == 11 and len(set(links["a"]) | set(links["b"])) == 12
+    assert len(found) == 11 + 12  # each point without core once
+    assert sum(sizes) < 36 * len(pairs) / 2
+    sizes.clear()
+    counts = density._counter(1.0, 4)(points, pairs).to_pandas()
+    assert (counts["near"] >= 4).all() and len(counts) == 72 and sum(sizes) < 36 * len(pairs) / 4
+
+
+def test_near_points_at_the_edge():
+    rng = np.random.default_rng(5)
+    for shift, scale in ((0.0, 1.0), (1e6, 1.0), (0.0, 1e-12), (0.0, 1e20)):
+        a = np.round(rng.integers(-4, 5, size=(200, 3)).astype(float)) * scale + shift
+        b = np.round(rng.integers(-4, 5, size=(150, 3)).astype(float)) * scale + shift
+        for eps in (1.0 * scale, 3.0 * scale, 1e9 * scale):
+            gap = a[:, None, :] - b[None, :, :]
+            assert (density._near(a, b, eps) == (np.einsum("ijk,ijk->ij", gap, gap) <= eps * eps)).all()
+
+
 def test_automl_on_a_hypothesis(spark):
     df = spark.range(200).select(
         "id", (F.col("id") % 13).cast("double").alias("a"), F.rand(1).alias("noise")
